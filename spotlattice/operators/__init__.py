@@ -1,0 +1 @@
+"""Operators of the spatial copy-number engine."""

@@ -1,0 +1 @@
+"""Plans of the spatial copy-number engine."""

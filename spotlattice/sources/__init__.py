@@ -1,0 +1 @@
+"""Sources of the spatial copy-number engine."""
