@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import langid
+from spotlattice.llm import langid, mixing, sharding
 from spotlattice.llm.util import id_remainder, table
 
 
@@ -17,5 +17,45 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op2_language_id": op2_language_id}
-ORACLE_SQL: dict[str, str] = {}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by weights 5, 2, 1 takes of each document, through the splitting tree over 16 shards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.mix(docs).drop("text")
+    out = rows.groupBy("mix_source", "mix_rank", "doc_id").agg(
+        F.first("mix_size").alias("size"),
+        F.first("mix_source_size").alias("source_size"),
+        F.first("mix_target").alias("target"),
+        F.sum("mix_words").alias("taken"),
+    )
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                  md5('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
+f AS (SELECT *, cap::DOUBLE / w AS fill FROM w),
+p AS (SELECT *, sum(source_size) OVER () AS t, sum(w) OVER () AS tw,
+             coalesce(sum(cap) OVER o, 0) AS cb, coalesce(sum(w) OVER o, 0) AS wb FROM f
+      WINDOW o AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, fill * (tw - wb)::DOUBLE <= (t - cb)::DOUBLE AS capped FROM p),
+r AS (SELECT *, t - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS rest,
+             tw - sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS rest_w FROM c),
+g AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE rest::DOUBLE * w / nullif(rest_w, 0) END AS target FROM r),
+q AS (SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS goal FROM g),
+x AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
+SELECT x.doc_id, x.size, q.source_size, round(q.target, 6) AS target,
+       ((q.goal // greatest(q.source_size, 1)) * x.size + greatest(0, least(x.size, q.goal % greatest(q.source_size, 1) - x.start)))::BIGINT AS taken
+FROM x JOIN q ON x.source IS NOT DISTINCT FROM q.source
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by proportional stratified interleaving."""
+    out = sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
