@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import langid, mixing, sharding
+from spotlattice.llm import langid, mixing, sharding, tsmedia
 from spotlattice.llm.util import id_remainder, table
 
 
@@ -17,6 +17,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a transport stream and back: what is returned is read from the stored stream."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    info = tsmedia.media_features(tsmedia.with_media(docs)).select("doc_id", "n_bytes", "media_info.*")
+    last = F.try_element_at("pts", F.lit(-1))
+    feature = F.format_string("pes=%d;last_pts=%d;access=%d;last_access=%d", F.size("pts"), last, F.size("access_points"), F.try_element_at("access_points", F.lit(-1)))
+    return info.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 5, 2, 1 takes of each document, through the splitting tree over 16 shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -57,5 +67,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_language_id": op2_language_id, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
