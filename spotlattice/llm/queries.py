@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import langid, mixing, sharding, tsmedia
-from spotlattice.llm.util import id_remainder, table
+from spotlattice.llm import langid, mixing, sharding, tsmedia, warc
+from spotlattice.llm.util import fresh_path, id_remainder, table
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC files in the shared folder, and return what the archives hold."""
+    root = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS owner FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN owner > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner > page_id THEN owner END AS refers_to
+FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest AND payload_bytes >= 1000
+"""
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a transport stream and back: what is returned is read from the stored stream."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,5 +83,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
