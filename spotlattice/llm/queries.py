@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import langid, mixing, sharding, tsmedia, warc
+from spotlattice.llm import jaccard, langid, mixing, sharding, tsmedia, warc
 from spotlattice.llm.util import fresh_path, id_remainder, table
 
 
@@ -83,5 +83,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
+    return jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
