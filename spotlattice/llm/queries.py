@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import jaccard, langid, mixing, sharding, tsmedia, warc
+from spotlattice.llm import jaccard, langid, mixing, quality, sharding, tsmedia, warc
 from spotlattice.llm.util import fresh_path, id_remainder, table
 
 
@@ -33,6 +33,16 @@ FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest AND payload_bytes >= 1
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule-ensemble quality of every whole text; learns labels only from ids whose crc32 mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    model = quality.train(docs, labels)
+    scored = quality.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a transport stream and back: what is returned is read from the stored stream."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,5 +98,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
