@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import jaccard, langid, mixing, quality, sharding, tsmedia, warc
+from spotlattice.llm import iblt, jaccard, langid, mixing, quality, sharding, tsmedia, warc
 from spotlattice.llm.util import fresh_path, id_remainder, table
 
 
@@ -87,6 +87,11 @@ FROM x JOIN q ON x.source IS NOT DISTINCT FROM q.source
 """
 
 
+def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph sketches of every text and its edited text, compared by peeling."""
+    return iblt.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by proportional stratified interleaving."""
     out = sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
@@ -98,5 +103,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op8_iblt_fingerprint": op8_iblt_fingerprint, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
