@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import iblt, jaccard, langid, mixing, quality, sharding, tsmedia, warc
+from spotlattice.llm import iblt, jaccard, langid, mixing, pii, quality, sharding, tsmedia, warc
 from spotlattice.llm.util import fresh_path, id_remainder, table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its personal data and secrets replaced, and the number of mentions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, count="n_mentions").select("doc_id", "text", "n_mentions")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-first backoff over every whole text; learns only from ids whose crc32 mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -103,5 +109,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op8_iblt_fingerprint": op8_iblt_fingerprint, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_pii_surrogates": op1_pii_surrogates, "op2_language_id": op2_language_id, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op8_iblt_fingerprint": op8_iblt_fingerprint, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
