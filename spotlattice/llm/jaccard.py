@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlattice.llm.components import components
@@ -376,6 +377,25 @@ def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", small: int = 500_000, **options) -> DataFrame:
+    """The rows of docs of which one of each group stays: that with the smallest id.
+
+    Rows with a null id stay. Of several rows with one id, the one whose text has the smallest hash stays.
+    """
+    found = stored(link_groups(docs, key=key, text=text, **options), "groups").where(F.col(key).isNotNull())
+    again = found.groupBy(key).agg(F.count("*").alias("c"), F.max(F.col(key) != F.col("component_id")).alias("goes")).where("c > 1 or goes")
+    again = stored(again.withColumnRenamed(key, "__key"), "leaving")
+    # Broadcast only after a look at the size; a shuffle join beyond it.
+    side = F.broadcast(again) if again.count() <= small else again
+    kept = docs.join(side, F.col(key) == F.col("__key"), "left_anti")
+    several = again.where("not goes")
+    if several.isEmpty():
+        return kept
+    rows = docs.join(several.select("__key"), F.col(key) == F.col("__key")).drop("__key")
+    first = rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text), text))).where("__r = 1").drop("__r")
+    return kept.unionByName(first)
+
+
 def _unsettled(cut: DataFrame, placed: DataFrame, roots: DataFrame) -> DataFrame:
     """Blocks for the members outside the largest component of their cell, against every chunk of it."""
     now = cut.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

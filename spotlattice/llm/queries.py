@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm import iblt, jaccard, langid, mixing, pii, quality, sharding, tsmedia, warc
+from spotlattice.llm import iblt, jaccard, langid, mixing, packing, pii, quality, sharding, tsmedia, warc
 from spotlattice.llm.util import fresh_path, id_remainder, table
 
 
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins of 2,048 words; no bin has two equal texts or two documents of one source."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC files in the shared folder, and return what the archives hold."""
     root = fresh_path(spark, "warc")
@@ -109,5 +114,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {"op1_pii_surrogates": op1_pii_surrogates, "op2_language_id": op2_language_id, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op8_iblt_fingerprint": op8_iblt_fingerprint, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_pii_surrogates": op1_pii_surrogates, "op2_language_id": op2_language_id, "op3_best_fit_packing": op3_best_fit_packing, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op8_iblt_fingerprint": op8_iblt_fingerprint, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
