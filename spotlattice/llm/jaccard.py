@@ -227,41 +227,40 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _pivots(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, smallest class) for each key, and (pivot, class) for the other classes of keys that have several."""
+def _least(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each key with its smallest class; and the other (key, class) entries of keys that have several classes."""
     order = np.lexsort((cls, keys))
     keys, cls = keys[order], cls[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])]) if len(keys) else np.zeros(0, bool)
     keys, cls = keys[new], cls[new]
     first = _runs(keys)
-    pivot = np.repeat(cls[first], np.diff(np.append(first, len(keys))))
-    more = pivot != cls
-    return keys[first], cls[first], pivot[more], cls[more]
+    rest = np.ones(len(keys), bool)
+    rest[first] = False
+    return keys[first], cls[first], keys[rest], cls[rest]
 
 
 def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, flush: int = 1 << 20) -> DataFrame:
-    """(id, text) -> (pivot, cls, local): classes that share a key with a smaller one, named as their pivot.
+    """(id, text) -> (pivot, cls): the classes that share a key with a smaller one, the smallest being their pivot.
 
-    Keys are sorted and packed, some million at a time, and each pack keeps only the smallest class of a key (its other
-    classes have that one as their local pivot). So a key of very many classes has one entry a pack, not one a class.
-    Packs meet by bucket of the key, where the local pivots of a key get the smallest of them as pivot.
+    Keys are sorted and packed, some million at a time. Of each key a pack has its smallest class first and apart from
+    the others, so that what must be held together of a key in its bucket is one class a pack; the others stream past
+    to get the smallest of those as their pivot. A key of very many classes thus needs no memory for them.
     """
 
+    def rows_of(keys: np.ndarray, cls: np.ndarray, late: int) -> list[tuple]:
+        bucket = ((keys >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
+        first = _runs(bucket)
+        low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
+        return [(int(bucket[i]), late, low[i:j].tobytes(), cls[i:j].tobytes()) for i, j in zip(first, np.append(first[1:], len(keys)), strict=True)]
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         size = 0
 
         def flushed() -> pd.DataFrame:
-            keys, cls, pivot, more = _pivots(np.concatenate(held).view(_U), np.concatenate(owners))
-            bucket = ((keys >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
-            first = _runs(bucket)
-            low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-            rows = [(int(bucket[i]), 0, low[i:j].tobytes(), cls[i:j].tobytes()) for i, j in zip(first, np.append(first[1:], len(keys)), strict=True)]
-            if len(more):
-                found = np.unique(np.stack([pivot, more], 1), axis=0)
-                rows.append((int(abs(int(found[0, 0])) % n_buckets), 1, found[:, 0].tobytes(), found[:, 1].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "local", "a", "b"])
+            keys, cls, more, others = _least(np.concatenate(held).view(_U), np.concatenate(owners))
+            return pd.DataFrame(rows_of(keys, cls, 0) + rows_of(more, others, 1), columns=["bucket", "late", "a", "b"])
 
         for batch in batches:
             for s in shingle_sets(batch["text"], width):
@@ -279,39 +278,37 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
             yield flushed()
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, keys, cls = None, [], []
-        frame = lambda p, c, local: pd.DataFrame({"pivot": p, "cls": c, "local": np.full(len(p), local)})
+        at, keys, cls, known = None, [], [], None
+
+        def pairs(pivot: np.ndarray, member: np.ndarray) -> pd.DataFrame:
+            found = np.unique(np.stack([pivot, member], 1)[pivot != member], axis=0)
+            return pd.DataFrame({"pivot": found[:, 0], "cls": found[:, 1]})
 
-        def met() -> pd.DataFrame:
-            _, _, pivot, more = _pivots(np.concatenate(keys), np.concatenate(cls))
-            found = np.unique(np.stack([pivot, more], 1), axis=0)
-            return frame(found[:, 0], found[:, 1], False)
+        def met() -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+            one, least, more, others = _least(np.concatenate(keys), np.concatenate(cls))
+            return one, least, pairs(least[np.searchsorted(one, more)], others)
 
         for batch in batches:
-            for bucket, local, a, b in zip(batch["bucket"], batch["local"], batch["a"], batch["b"], strict=True):
-                if local:
-                    yield frame(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), True)
-                    continue
+            for bucket, late, a, b in zip(batch["bucket"], batch["late"], batch["a"], batch["b"], strict=True):
                 if bucket != at:
-                    if keys:
-                        yield met()
-                    at, keys, cls = bucket, [], []
-                keys.append(np.frombuffer(a, np.uint32))
-                cls.append(np.frombuffer(b, np.int64))
-        if keys:
-            yield met()
-
-    packed = docs.select("text").mapInPandas(pack, "bucket int, local int, a binary, b binary")
+                    if keys and known is None:
+                        yield met()[2]
+                    at, keys, cls, known = bucket, [], [], None
+                if late:
+                    if known is None:
+                        one, least, some = met()
+                        known = (one, least)
+                        yield some
+                    yield pairs(known[1][np.searchsorted(known[0], np.frombuffer(a, np.uint32))], np.frombuffer(b, np.int64))
+                else:
+                    keys.append(np.frombuffer(a, np.uint32))
+                    cls.append(np.frombuffer(b, np.int64))
+        if keys and known is None:
+            yield met()[2]
+
+    packed = docs.select("text").mapInPandas(pack, "bucket int, late int, a binary, b binary")
     parts = max(1, min(n_buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(meet, "pivot long, cls long, local boolean")
-
-
-def _members(pairs: DataFrame) -> DataFrame:
-    """(pivot, cls, local) -> distinct (pivot, cls) of the cells, each with its pivot."""
-    local, met = pairs.where("local").select("pivot", "cls"), pairs.where("not local").select("pivot", "cls")
-    through = local.select(F.col("pivot").alias("p"), "cls").join(met.select("pivot", F.col("cls").alias("p")), "p").select("pivot", "cls")
-    all_pairs = local.unionByName(met).unionByName(through)
-    return all_pairs.unionByName(all_pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "late").mapInPandas(meet, "pivot long, cls long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 25) -> DataFrame:
@@ -352,7 +349,8 @@ def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     words = (signed.agg(F.sum("n")).first()[0] or 0) + 1
     n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 1e6)))
     pairs = stored(_shared_keys(slim.where(F.col("id").isNotNull()), width, num, den, n_buckets), "shared-keys")
-    members = stored(_members(pairs).join(classes.select("cls", "n"), "cls"), "members")
+    members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
+    members = stored(members.join(classes.select("cls", "n"), "cls"), "members")
     per_cell = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
     chunks = F.greatest(F.ceil(F.col("c") / F.lit(CHUNK_SETS)), F.ceil(F.col("e") / F.lit(CHUNK_ELEMENTS))).cast("int")
     cells = stored(members.join(per_cell.select("pivot", chunks.alias("m")), "pivot"), "cells")
