@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlattice.functions.exprs import ratio
+from spotlattice.functions.reuse import reused
 from spotlattice.operators.neighbors import knn_vectors, knn_xy
 
 
@@ -89,7 +90,7 @@ def clone_profiles(log2: DataFrame, labels: DataFrame, n_bins_total: int) -> tup
     The cluster of the lowest median absolute log2 ratio, over all bins (those without a value count 0), is Normal; the
     others are Clone1, Clone2, ... by falling mean absolute aberration.
     """
-    df = log2.join(labels.select("sample", "spot_id", "cluster"), ["sample", "spot_id"])
+    df = reused(log2.join(labels.select("sample", "spot_id", "cluster"), ["sample", "spot_id"]))
     size = labels.groupBy("cluster").agg(F.count("*").alias("spots"))
     # The median over spots * n_bins_total values of which those without a row are 0: a rank in the sorted non-zero ones.
     have = df.groupBy("cluster").agg(F.count("*").alias("c")).join(size, "cluster").withColumn("zeros", F.col("spots") * n_bins_total - F.col("c"))
@@ -99,7 +100,7 @@ def clone_profiles(log2: DataFrame, labels: DataFrame, n_bins_total: int) -> tup
     lo, hi = F.floor((n + 1) / 2) - F.col("zeros"), F.floor((n + 2) / 2) - F.col("zeros")
     flat = ranked.groupBy("cluster").agg((F.coalesce(F.max(F.when(F.col("r") == lo, F.col("a"))), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("r") == hi, F.col("a"))), F.lit(0.0))).alias("twice"))
     normal = flat.agg(F.min(F.struct("twice", "cluster"))["cluster"].alias("normal"))
-    means = df.groupBy("cluster", "bin_id").agg(F.avg("value").alias("m"))
+    means = reused(df.groupBy("cluster", "bin_id").agg(F.avg("value").alias("m")))
     base = means.join(F.broadcast(normal), means["cluster"] == F.col("normal")).select("bin_id", F.col("m").alias("base"))
     diff = means.join(base, "bin_id").withColumn("d", F.col("m") - F.col("base"))
     middle = diff.groupBy("cluster").agg(F.median("d").alias("md"))

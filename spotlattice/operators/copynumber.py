@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.functions.exprs import clip, log2_floor, ratio
 from spotlattice.functions.genome import is_autosome
+from spotlattice.functions.reuse import reused
 from spotlattice.operators.neighbors import densify, knn_xy, neighbour_total
 from spotlattice.operators.normalize import bin_reference, library_scaled, qc_bins, reference_spots
 
@@ -29,7 +30,7 @@ def genome_smooth(layer: DataFrame, bins: DataFrame, win: int = 3) -> DataFrame:
 
 def log2_centered(relative: DataFrame) -> DataFrame:
     """log2 of the relative layer (0 where it is null), minus the spot's median."""
-    logged = relative.withColumn("value", F.coalesce(log2_floor(F.col("value")), F.lit(0.0)))
+    logged = reused(relative.withColumn("value", F.coalesce(log2_floor(F.col("value")), F.lit(0.0))))
     middle = logged.groupBy("sample", "spot_id").agg(F.median("value").alias("m"))
     return logged.join(middle, ["sample", "spot_id"]).select("sample", "spot_id", "bin_id", (F.col("value") - F.col("m")).alias("value"))
 
@@ -38,7 +39,7 @@ def depth_residualized(layer: DataFrame, spots: DataFrame) -> DataFrame:
     """The layer without each bin's slope on the centred log10 coverage of the spots."""
     cov = spots.where("total_frags > 0").select("sample", "spot_id", F.log10(F.col("total_frags") + 1.0).alias("c"))
     cov = cov.withColumn("c", F.col("c") - F.avg("c").over(W.partitionBy("sample")))
-    df = layer.join(cov, ["sample", "spot_id"])
+    df = reused(layer.join(cov, ["sample", "spot_id"]))
     slopes = df.groupBy("sample", "bin_id").agg(ratio(F.sum(F.col("value") * F.col("c")), F.sum(F.col("c") * F.col("c"))).alias("beta"))
     return df.join(slopes, ["sample", "bin_id"]).select("sample", "spot_id", "bin_id", (F.col("value") - F.coalesce("beta", F.lit(0.0)) * F.col("c")).alias("value"))
 
@@ -56,10 +57,10 @@ def copy_number(layer: DataFrame, spots: DataFrame, bins: DataFrame, *, k_spatia
     autosomal median set to 2, smoothed and clipped to [0, 6]."""
     present, kept = spots.where("total_frags > 0"), qc_bins(bins, spots)
     inside = layer.join(F.broadcast(kept.select("sample", "bin_id")), ["sample", "bin_id"], "left_semi")
-    dense = densify(neighbour_total(inside, knn_xy(present, k_spatial, extent), "sum"), present, kept)
-    scaled = library_scaled(dense, dense)
+    dense = reused(densify(neighbour_total(inside, knn_xy(present, k_spatial, extent), "sum"), present, kept))
+    scaled = reused(library_scaled(dense, dense))
     rel = scaled.join(bin_reference(scaled, reference_spots(spots, mask)), ["sample", "bin_id"]).withColumn("value", ratio(F.col("value"), F.col("ref")))
-    rel = rel.join(F.broadcast(kept), ["sample", "bin_id"])
+    rel = reused(rel.join(F.broadcast(kept), ["sample", "bin_id"]))
     base = rel.groupBy("sample", "spot_id").agg(F.median(F.when(is_autosome(F.col("chr")), F.col("value"))).alias("base"))
     base = base.withColumn("base", F.when(F.col("base") > 0, F.col("base")))
     cn = rel.join(base, ["sample", "spot_id"]).select("sample", "spot_id", "bin_id", F.coalesce(ratio(F.col("value"), F.col("base")) * 2.0, F.lit(2.0)).alias("value"))

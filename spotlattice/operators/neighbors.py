@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spotlattice.functions.reuse import reused
+
 
 def _offsets(spark, radius: int) -> DataFrame:
     span = F.sequence(F.lit(-radius), F.lit(radius))
@@ -16,30 +18,30 @@ def _offsets(spark, radius: int) -> DataFrame:
 
 
 def knn_xy(spots: DataFrame, k: int, extent: int = 50) -> DataFrame:
-    """sample, src, dst, dist2, rank of the k nearest spots of every spot, itself among them; ties by spot_id.
+    """sample, src, dst, dist2, rank, k of the k nearest spots of every spot, itself among them; ties by spot_id.
 
-    A disc that holds k grid points is tried first; spots that do not find k in it (at edges and holes) are tried
-    again with twice the radius, up to the extent of the grid. So pairs grow with spots * k, not with spots squared.
+    The first disc is so large that a quarter of it holds k grid points, which is enough even at a corner. Only spots that
+    do not find k in it, for holes, are tried again over the extent of the grid. So pairs grow with spots * k.
     """
     spark = spots.sparkSession
     left = spots.select("sample", F.col("spot_id").alias("src"), "x_id", "y_id")
     right = spots.select("sample", F.col("spot_id").alias("dst"), F.col("x_id").alias("px"), F.col("y_id").alias("py"))
     total = spots.groupBy("sample").agg(F.least(F.count("*"), F.lit(k)).alias("want"))
-    todo, out = left.join(F.broadcast(total), "sample"), None
-    radius, last = math.ceil(math.sqrt(k / math.pi)) + 1, math.ceil(extent * math.sqrt(2))
-    while True:
-        r = min(radius, last)
-        near = todo.join(F.broadcast(_offsets(spark, r))).withColumns({"px": F.col("x_id") + F.col("dx"), "py": F.col("y_id") + F.col("dy")})
-        near = near.join(right, ["sample", "px", "py"])
-        by_src = W.partitionBy("sample", "src")
-        near = near.withColumns({"found": F.count("*").over(by_src), "rank": F.row_number().over(by_src.orderBy("dist2", "dst"))})
-        done = near if r == last else near.where("found >= want")
-        part = done.where(F.col("rank") <= F.col("want")).select("sample", "src", "dst", "dist2", "rank")
-        out = part if out is None else out.unionByName(part)
-        if r == last:
-            return out
-        todo = todo.join(near.where("found >= want").select("sample", "src").distinct(), ["sample", "src"], "left_anti")
-        radius *= 2
+    last = math.ceil(extent * math.sqrt(2))
+    by_src = W.partitionBy("sample", "src")
+
+    def within(todo: DataFrame, radius: int) -> DataFrame:
+        near = todo.join(F.broadcast(_offsets(spark, radius))).withColumns({"px": F.col("x_id") + F.col("dx"), "py": F.col("y_id") + F.col("dy")})
+        return near.join(right, ["sample", "px", "py"]).withColumns({"found": F.count("*").over(by_src), "rank": F.row_number().over(by_src.orderBy("dist2", "dst"))})
+
+    ranked = lambda df: df.where(F.col("rank") <= F.col("want")).select("sample", "src", "dst", "dist2", "rank", F.col("want").alias("k"))
+    every = left.join(F.broadcast(total), "sample")
+    radius = min(2 * (math.ceil(math.sqrt(k / math.pi)) + 1), last)
+    first = within(every, radius)
+    if radius == last:
+        return reused(ranked(first))
+    short = first.where("found < want").select("sample", "src").distinct()
+    return reused(ranked(first.where("found >= want")).unionByName(ranked(within(every.join(short, ["sample", "src"], "left_semi"), last))))
 
 
 def adjacency(spots: DataFrame) -> DataFrame:
@@ -53,9 +55,9 @@ def adjacency(spots: DataFrame) -> DataFrame:
 
 def neighbour_total(layer: DataFrame, knn: DataFrame, how: str = "mean", value: str = "value") -> DataFrame:
     """Mean or sum of a layer over each spot's neighbours; absent values count as 0, and zeros stay implicit."""
-    size = knn.groupBy("sample", "src").agg(F.count("*").alias("k"))
-    sums = knn.select("sample", "src", F.col("dst").alias("spot_id")).join(layer, ["sample", "spot_id"]).groupBy("sample", "src", "bin_id").agg(F.sum(value).alias(value))
-    out = sums.join(size, ["sample", "src"]).withColumn(value, F.col(value) / F.col("k") if how == "mean" else F.col(value))
+    near = knn.select("sample", "src", F.col("dst").alias("spot_id"), "k").join(layer, ["sample", "spot_id"])
+    sums = near.groupBy("sample", "src", "bin_id").agg(F.sum(value).alias(value), F.max("k").alias("k"))
+    out = sums.withColumn(value, F.col(value) / F.col("k") if how == "mean" else F.col(value))
     return out.select("sample", F.col("src").alias("spot_id"), "bin_id", value)
 
 

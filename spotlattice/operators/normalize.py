@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlattice.functions.exprs import log2_floor, ratio
+from spotlattice.functions.reuse import reused
 from spotlattice.operators.neighbors import densify, knn_xy, neighbour_total
 
 MIN_REFERENCE = 20
@@ -47,9 +48,9 @@ def normalize(layer: DataFrame, spots: DataFrame, bins: DataFrame, *, mask: Data
     """The relative layer, for QC bins of present spots: means over neighbours, library-scaled, over the pseudo-normal."""
     present = spots.where("total_frags > 0")
     if spatial_k and spatial_k > 1:
-        layer = neighbour_total(layer, knn_xy(present, spatial_k, extent), "mean")
+        layer = reused(neighbour_total(layer, knn_xy(present, spatial_k, extent), "mean"))
     dense = densify(layer, present, qc_bins(bins, present))
-    scaled = library_scaled(dense, layer)
+    scaled = reused(library_scaled(dense, layer))
     rel = scaled.join(bin_reference(scaled, reference_spots(spots, mask)), ["sample", "bin_id"])
     return rel.select("sample", "spot_id", "bin_id", ratio(F.col("value"), F.col("ref")).alias("value"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlattice.functions.exprs import ratio
+from spotlattice.functions.reuse import reused
 
 
 def spot_totals(counts: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def bin_means(counts: DataFrame, spots: DataFrame, bins: DataFrame) -> DataFrame
 
 def bin_qc(counts: DataFrame, spots: DataFrame, bins: DataFrame, *, gc_min: float = 0.35, map_min: float = 0.5, blacklist_max: float = 0.3, min_bin_frac: float = 0.2) -> DataFrame:
     """bins of each sample with bin_mean and pass_qc. Bounds are strict; a covariate that bins lack is not tested."""
-    means = bin_means(counts, spots, bins)
+    means = reused(bin_means(counts, spots, bins))
     middle = means.where("bin_mean > 0").groupBy("sample").agg(F.median("bin_mean").alias("m"))
     ok = F.col("bin_mean") > F.lit(min_bin_frac) * F.coalesce("m", F.lit(0.0))
     for name, test in (("gc", F.col("gc") > gc_min), ("mappability", F.col("mappability") > map_min), ("blacklist", F.col("blacklist") < blacklist_max)):

@@ -257,7 +257,7 @@ ORACLE_SQL: dict[str, str] = {
     "gc_map_corrected": _with(_BASE + _CORRECTED, f"SELECT spot_id, bin_id, {_RV} FROM c2"),
     "interval_coverage_fraction": _with(
         _BASE + """, iv AS (SELECT 'chr' || (o_custkey % 22 + 1) AS chr, (o_orderkey * 104729) % 40000000 AS s, (o_orderkey * 104729) % 40000000 + (o_custkey * 7919) % 25000000 AS e FROM orders)""",
-        """SELECT bin_id, round(coalesce(sum(least(e, (b + 1) * 10000000) - greatest(s, b * 10000000)), 0) / 10000000.0::DOUBLE, 6) AS fraction FROM (SELECT bin_id, chr, start // 10000000 AS b FROM bins) bins
+        """SELECT bin_id, round(coalesce(sum(least(e, (b + 1) * 10000000) - greatest(s, b * 10000000)) FILTER (WHERE s IS NOT NULL), 0) / 10000000.0::DOUBLE, 6) AS fraction FROM (SELECT bin_id, chr, start // 10000000 AS b FROM bins) bins
         LEFT JOIN iv ON iv.chr = bins.chr AND s < (b + 1) * 10000000 AND e > b * 10000000 AND e > s GROUP BY 1""",
     ),
     "gc_lookup_left_join": _with(_BASE, f"SELECT bin_id, {_r('CASE WHEN bin_id % 3 <> 0 THEN gc ELSE 0 END', 'gc')} FROM bins"),

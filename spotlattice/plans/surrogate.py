@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotlattice.functions.genome import build_bins
+from spotlattice.functions.reuse import reused
 from spotlattice.operators import barcodes as B
 from spotlattice.operators import copynumber, neighbors, normalize, qc
 from spotlattice.operators.reads import LINKER
@@ -57,11 +58,11 @@ class Surrogate:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return self.dataset.counts
+        return reused(self.dataset.counts)
 
     @cached_property
     def spots(self) -> DataFrame:
-        return self.dataset.spots
+        return reused(self.dataset.spots)
 
     @cached_property
     def qc_bins(self) -> DataFrame:
@@ -69,7 +70,7 @@ class Surrogate:
 
     @cached_property
     def corrected(self) -> DataFrame:
-        return qc.correct_bias(self.counts, self.bins)
+        return reused(qc.correct_bias(self.counts, self.bins))
 
     @cached_property
     def relative(self) -> DataFrame:
@@ -77,11 +78,11 @@ class Surrogate:
 
     @cached_property
     def log2(self) -> DataFrame:
-        return copynumber.log2_ratio(self.relative, self.spots, self.qc_bins)
+        return reused(copynumber.log2_ratio(self.relative, self.spots, self.qc_bins))
 
     @cached_property
     def cn(self) -> DataFrame:
-        return copynumber.copy_number(self.corrected, self.spots, self.qc_bins, extent=GRID)
+        return reused(copynumber.copy_number(self.corrected, self.spots, self.qc_bins, extent=GRID))
 
     @cached_property
     def burden(self) -> DataFrame:
