@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """df kept by the executors, in memory and on disk, when it is first computed; lost parts are computed again.
+    """df written once to the cluster's checkpoint folder and read from there: its plan starts anew.
 
-    Without it each further use would plan and run the whole chain below once more. ``spark.catalog.clearCache()`` lets go.
+    A chain of operators that each read their input several times would otherwise have a plan that grows with the power
+    of the chain's length, and be computed as often. Files of a checkpoint survive lost executors. The folder is that of
+    spark.checkpoint.dir; one of our own is set only where there is none (in tests).
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spotlattice-"))
+    return df.checkpoint()

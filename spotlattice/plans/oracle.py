@@ -392,7 +392,7 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT k, n, {_r('(b / (k - 1)) / (w / (n - k))', 'ch', 4)} FROM vs",
     ),
     "knn_vectors": f"""SELECT src, dst, rank::INT AS rank, {_r('d', 'dist2', 5)} FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM (
-        SELECT a.vec_id AS src, b.vec_id AS dst, list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings a, embeddings b)) WHERE rank <= 5""",
+        SELECT a.vec_id AS src, b.vec_id AS dst, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings a, embeddings b)) WHERE rank <= 5""",
     "pc_double_smooth": _with(_POINTS, f"SELECT src AS spot_id, i::INT AS i, {_r('avg(x)', 'value', 5)} FROM px JOIN p1 ON p1.spot_id = dst GROUP BY src, i"),
     "adjusted_rand_index": f"""WITH p AS (SELECT o_orderstatus AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS b FROM orders),
         c AS (SELECT a, b, count(*) AS c FROM p GROUP BY ALL), x AS (SELECT sum(c * (c - 1) / 2.0::DOUBLE) AS x, sum(c)::DOUBLE AS n FROM c),
