@@ -336,7 +336,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 25
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "cls": [set_id(s) if len(s) else 0 for s in sets], "elements": [s.view(np.int64) for s in sets]})
 
     made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, "id long, cls long, elements array<long>")
-    return made.join(wanted.select("id", "cls"), ["id", "cls"]).select("cls", "elements").dropDuplicates(["cls"])
+    # Joined by cls alone, so that one shuffle of the sets serves for this, for the distinct rows, and for the join to cells.
+    mine = made.withColumnRenamed("id", "__id").join(wanted.select("id", "cls"), "cls").where("id = __id")
+    return mine.select("cls", "elements").dropDuplicates(["cls"])
 
 
 def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -348,23 +350,26 @@ def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     # About a million keys a bucket: a word has 0.2 to 0.6 of them.
     words = (signed.agg(F.sum("n")).first()[0] or 0) + 1
     n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 1e6)))
-    pairs = stored(_shared_keys(slim.where(F.col("id").isNotNull()), width, num, den, n_buckets), "shared-keys")
+    pairs = stored(_shared_keys(slim.where("id is not null"), width, num, den, n_buckets), "shared-keys")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
     members = stored(members.join(classes.select("cls", "n"), "cls"), "members")
     per_cell = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
     chunks = F.greatest(F.ceil(F.col("c") / F.lit(CHUNK_SETS)), F.ceil(F.col("e") / F.lit(CHUNK_ELEMENTS))).cast("int")
     cells = stored(members.join(per_cell.select("pivot", chunks.alias("m")), "pivot"), "cells")
     wanted = cells.select("cls").distinct().join(classes, "cls")
-    sets = stored(_sets_of(slim.where(F.col("id").isNotNull()), wanted, width), "sets")
+    texts = slim.where(F.col("id").isNotNull())
     own = F.pmod(F.xxhash64("pivot", "cls"), F.col("m")).cast("int")
     placed = cells.withColumn("chunk", F.explode(F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     placed = placed.withColumns({"block": F.lit(0), "asks": F.lit(False)})
-    edges = stored(_search(placed.join(sets, "cls"), num, den), "links")
+    edges = stored(_search(placed.join(_sets_of(texts, wanted, width), "cls"), num, den), "links")
     roots = components(edges)
     cut = cells.where("m > 1")
     if not cut.isEmpty():
-        edges = edges.unionByName(stored(_search(_unsettled(cut, placed, roots).join(sets, "cls"), num, den), "links"))
-        roots = components(edges)
+        blocks = stored(_unsettled(cut, placed, roots), "blocks")
+        if not blocks.isEmpty():
+            again = _sets_of(texts, blocks.select("cls").distinct().join(classes, "cls"), width)
+            edges = edges.unionByName(stored(_search(blocks.join(again, "cls"), num, den), "links"))
+            roots = components(edges)
     # The smallest document id of each component, by way of the classes.
     rooted = classes.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
