@@ -465,3 +465,10 @@ def permutation_null_mc(s: Surrogate) -> DataFrame:
 @query
 def morans_i_permutation_p(s: Surrogate) -> DataFrame:
     return rigor.morans_i_permutation(s.spots, "total_frags", n_perm=99).select("i", "p")
+
+
+@query
+def simulated_counts(s: Surrogate) -> DataFrame:
+    from spotlattice.sources.simulate import simulate
+
+    return simulate(s.spark, grid=10, bin_size=BIN, coverage=2.0, seed=0).counts.select("spot_id", "bin_id", "n")
