@@ -1,0 +1,45 @@
+import numpy as np
+import pytest
+
+from spotlattice.operators import image
+
+
+def section(angle=0):
+    img = np.full((300, 400, 3), 245, np.uint8)
+    img[60:240, 100:280] = (200, 180, 225)
+    rng = np.random.default_rng(0)
+    for y, x in rng.integers(0, 80, (120, 2)):
+        img[70 + y : 74 + y, 110 + x : 114 + x] = (120, 60, 90)
+    img[60:150, 190:280] = 250
+    img[58:61, 98:283] = img[239:242, 98:283] = (0, 0, 255)
+    img[58:242, 98:101] = img[58:242, 280:283] = (0, 0, 255)
+    return np.ascontiguousarray(img)
+
+
+def test_box_and_stains(spark):
+    img = section()
+    assert image.find_box(img) == ("red", (58, 98, 241, 282))
+    df = spark.createDataFrame([("a", 300, 400, bytearray(img.tobytes()))], "origin string, height int, width int, data binary")
+    r = image.he_purity(df).first()
+    assert r["box_color"] == "red" and 0 < r["nuclei_fraction"] < 0.5 and r["tissue_frac_of_roi"] < 0.9
+    with pytest.raises(RuntimeError):
+        image.find_box(np.full((50, 50, 3), 255, np.uint8))
+
+
+def test_registration_finds_the_empty_corner(spark):
+    img = section()
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(1, 11), np.arange(1, 11), indexing="ij"))
+    rows = [("s", int((a - 1) * 10 + b - 1), int(a), int(b), 5 if a > 5 and b <= 5 else 100 + int(a)) for a, b in zip(x, y)]
+    spots = spark.createDataFrame(rows, "sample string, spot_id int, x_id int, y_id int, total_frags long")
+    images = spark.createDataFrame([("s", 300, 400, bytearray(img.tobytes()))], "sample string, height int, width int, data binary")
+    got = image.register(images, spots).toPandas().merge(spots.toPandas(), on=["sample", "spot_id"])
+    empty = got[got.total_frags == 5]
+    assert got.validation_r.iloc[0] > 0.8 and empty.tissue_density.mean() < 0.5 < got[got.total_frags != 5].tissue_density.mean()
+    assert empty.px.mean() > 190 and empty.py.mean() < 150
+
+
+def test_projective_and_otsu():
+    a, b = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float), np.array([[1, 2], [5, 2], [6, 7], [0, 8]], float)
+    p = image.projective(a, b) @ np.vstack([a.T, np.ones(4)])
+    np.testing.assert_allclose((p[:2] / p[2]).T, b, atol=1e-9)
+    assert 0.1 < image.otsu(np.r_[np.full(50, 0.1), np.full(30, 0.9)]) < 0.9
