@@ -7,7 +7,8 @@ Dealing out. The sizes fall into bands. Linked sets of a band differ in at most
 into K = d + 1 + E parts by a hash, at least E + 1 parts hold the same elements in both, and with few empty parts one of
 these is not empty: a key of (band, part, its elements) that both sets have. Sets with more than E empty parts have keys
 for empty parts too, so no link is lost. Keys of only one class lead nowhere; the others have their smallest class as
-pivot, and all classes that have the same pivot form a cell. Linked classes always meet in a cell.
+pivot, and all classes that have the same pivot form a cell. Linked classes always meet in a cell. Members stay in a cell
+only if some other member's parts are the same in parts - d places at least (a byte of hash for each part).
 
 Search. A cell is cut into chunks of bounded size, each with the pivot. In a chunk an inverted index of its sets is
 searched for each set: its lists are divided by length, the short ones are heap-merged for the sets that occur
@@ -26,14 +27,14 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,6 +87,43 @@ def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def profiles_of(s: np.ndarray, num: int, den: int) -> list[tuple[int, bytes]]:
+    """(band, a byte for each part, a hash of its elements) of one set. Two sets that link have a band in which
+    parts - d bytes at least are equal, d being what ``least_equal`` takes off."""
+    n, out = len(s), []
+    with np.errstate(over="ignore"):
+        for k, (lo, hi, parts, _) in enumerate(bands(num, den)):
+            if hi < n or lo > n * den // num or parts == 1:
+                continue
+            salt = mix(np.array([k + 1], _U) * _U(0xC2B2AE3D27D4EB4F))
+            part = mix(s ^ salt) % _U(parts)
+            order = np.argsort(part, kind="stable")
+            at = part[order]
+            first = _runs(at)
+            profile = np.zeros(parts, np.uint8)
+            profile[at[first].astype(np.int64)] = mix(np.add.reduceat(mix(s[order] + salt), first)) >> _U(56)
+            out.append((k, profile.tobytes()))
+    return out
+
+
+def least_equal(band: int, num: int, den: int) -> int:
+    """How many parts are equal at least in two sets that link in a band."""
+    _, hi, parts, _ = bands(num, den)[band]
+    return parts - (den - num) * 2 * hi // (den + num)
+
+
+def alike(profiles: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Which rows have a partner, between the rows of left and those of right, with as many equal bytes."""
+    out = np.zeros(len(profiles), bool)
+    for i in left:
+        others = right[right != i]
+        hit = others[(profiles[others] == profiles[i]).sum(axis=1) >= least]
+        if len(hit):
+            out[i] = True
+            out[hit] = True
+    return out
+
+
 class Index:
     """An inverted index of sets, for T-occurrence search."""
 
@@ -248,6 +286,8 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
     """
 
     def rows_of(keys: np.ndarray, cls: np.ndarray, late: int) -> list[tuple]:
+        if not len(keys):
+            return []
         bucket = ((keys >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
         first = _runs(bucket)
         low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
@@ -311,8 +351,8 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "late").mapInPandas(meet, "pivot long, cls long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 25) -> DataFrame:
-    """(cls, elements) of the wanted (id, cls), from the texts again; the text is not shuffled.
+def _from_texts(docs: DataFrame, wanted: DataFrame, width: int, schema: str, rows: Callable[[np.ndarray], list[tuple]], bits: int = 1 << 25) -> DataFrame:
+    """(cls, schema) with the rows that ``rows`` makes of each wanted (id, cls), from its text; texts are not shuffled.
 
     A bitmap of the wanted ids, of a fixed size, goes to every task: where it is full it only prunes less.
     """
@@ -323,6 +363,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 25
     for k, m in maps.collect():
         table[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have = np.frombuffer(shared.value, np.uint8)
@@ -332,13 +373,59 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 25
             b = b[(have[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)]
             for lo in range(0, len(b), 256):
                 part = b[lo : lo + 256]
-                sets = list(shingle_sets(part["text"], width))
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "cls": [set_id(s) if len(s) else 0 for s in sets], "elements": [s.view(np.int64) for s in sets]})
+                out = [(i, set_id(s), *r) for i, s in zip(part["id"], shingle_sets(part["text"], width), strict=True) if len(s) for r in rows(s)]
+                yield pd.DataFrame(out, columns=["__id", "cls", *names])
 
-    made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, "id long, cls long, elements array<long>")
-    # Joined by cls alone, so that one shuffle of the sets serves for this, for the distinct rows, and for the join to cells.
-    mine = made.withColumnRenamed("id", "__id").join(wanted.select("id", "cls"), "cls").where("id = __id")
-    return mine.select("cls", "elements").dropDuplicates(["cls"])
+    made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, f"__id long, cls long, {schema}")
+    # Joined by cls alone, so that one shuffle serves for this and for the join to cells.
+    return made.join(wanted.select("id", "cls"), "cls").where("id = __id").select("cls", *names)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    return _from_texts(docs, wanted, width, "elements array<long>", lambda s: [(s.view(np.int64),)]).dropDuplicates(["cls"])
+
+
+def _chunks(c: str, e: str) -> Column:
+    return F.greatest(F.ceil(F.col(c) / F.lit(CHUNK_SETS)), F.ceil(F.col(e) / F.lit(CHUNK_ELEMENTS))).cast("int")
+
+
+def _likely(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The members (pivot, cls, n) of cells that have a partner there which is alike enough in the profiles.
+
+    Sets that share a passage share a key now and then, but few parts. Profiles are a small part of the sets' size, and
+    each chunk of a cell meets each other one of it, so that no pair of a cell is left out.
+    """
+    per_cell = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+    cells = members.join(per_cell.select("pivot", _chunks("c", "e").alias("m")), "pivot").withColumn("own", F.pmod(F.xxhash64("pivot", "cls"), F.col("m")).cast("int"))
+    met = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("pivot", "cls", "own", F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"))
+    profiles = _from_texts(docs, members.select("cls").distinct().join(classes, "cls"), width, "band int, profile binary", lambda s: profiles_of(s, num, den)).dropDuplicates(["cls", "band"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cls, own, held = None, [], [], []
+
+        def found() -> pd.DataFrame:
+            pivot, x, y, band = at
+            table = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
+            side = np.array(own)
+            yes = alike(table, np.flatnonzero(side == x), np.flatnonzero(side == y), least_equal(band, num, den))
+            return pd.DataFrame({"pivot": np.full(int(yes.sum()), pivot, np.int64), "cls": np.array(cls, np.int64)[yes]})
+
+        for batch in batches:
+            for pivot, x, y, band, c, o, profile in zip(*(batch[k] for k in ("pivot", "x", "y", "band", "cls", "own", "profile")), strict=True):
+                if (pivot, x, y, band) != at:
+                    if len(held) > 1:
+                        yield found()
+                    at, cls, own, held = (pivot, x, y, band), [], [], []
+                cls.append(c)
+                own.append(o)
+                held.append(profile)
+        if len(held) > 1:
+            yield found()
+
+    key = ["pivot", "x", "y", "band"]
+    rows = met.join(profiles, "cls").select(*key, "cls", "own", "profile")
+    kept = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "pivot long, cls long").distinct()
+    return kept.join(members, ["pivot", "cls"])
 
 
 def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -353,11 +440,11 @@ def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     pairs = stored(_shared_keys(slim.where("id is not null"), width, num, den, n_buckets), "shared-keys")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
     members = stored(members.join(classes.select("cls", "n"), "cls"), "members")
+    texts = slim.where("id is not null")
+    members = stored(_likely(members, texts, classes, width, num, den), "likely")
     per_cell = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
-    chunks = F.greatest(F.ceil(F.col("c") / F.lit(CHUNK_SETS)), F.ceil(F.col("e") / F.lit(CHUNK_ELEMENTS))).cast("int")
-    cells = stored(members.join(per_cell.select("pivot", chunks.alias("m")), "pivot"), "cells")
+    cells = stored(members.join(per_cell.select("pivot", _chunks("c", "e").alias("m")), "pivot"), "cells")
     wanted = cells.select("cls").distinct().join(classes, "cls")
-    texts = slim.where(F.col("id").isNotNull())
     own = F.pmod(F.xxhash64("pivot", "cls"), F.col("m")).cast("int")
     placed = cells.withColumn("chunk", F.explode(F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     placed = placed.withColumns({"block": F.lit(0), "asks": F.lit(False)})
