@@ -147,7 +147,8 @@ def write(pages: DataFrame, root: str, *, key: str = "page_id", url: str = "url"
     both = lines.unionByName(marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to"))
     both = both.withColumn("__step", step).join(F.broadcast(shards), "__step")
     n = max(1, shards.agg(F.max("__shard")).first()[0] + 1)
-    both = both.repartition(n, "__shard").sortWithinPartitions("__shard", F.col("page_id").asc_nulls_first(), "kind", F.sha1("payload"), "url")
+    # A task for each shard, by its number: by a hash some tasks would have several.
+    both = both.repartitionById(n, "__shard").sortWithinPartitions("__shard", F.col("page_id").asc_nulls_first(), "kind", F.sha1("payload"), "url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, at, refers = None, None, {}
