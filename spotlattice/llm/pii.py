@@ -30,8 +30,16 @@ from spotlattice.llm.util import own_name, stored
 _AN = r"\p{L}\p{N}"
 _TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа")}
 _ANY_TITLE = "|".join(sorted((t for ts in _TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
-_HEX = r"[0-9a-fA-F]{32,128}"
+#: A capitalised word (O'Brien, McDonald and Smith-Jones are words), and initials before one.
+_WORD = rf"(?:\p{{Lu}}\. )*+(?:\p{{Lu}}['’])?\p{{Lu}}\p{{Ll}}+(?:[-'’]?\p{{Lu}}\p{{Ll}}+)*(?![{_AN}])"
+_HEX = r"[0-9a-fA-F]{32,}+"
+#: The registered lengths of IBANs; codes that are not here match in groups of four with any last group.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(codes.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![{_AN}])" for n, codes in _IBAN_LENGTHS.items())
 #: The alternatives are tried in this order at each place.
 PATTERN = "|".join(
     [
@@ -40,11 +48,12 @@ PATTERN = "|".join(
         r"(?<![\d.])(?=\d{1,3}\.)(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
         r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
         r"(?<![\d-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3\d{3}[ -]?\d{6}[ -]?\d{5})(?!\d)",
-        r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
+        r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+        r"\+\d(?:[ .-]?\(?\d\)?){7,14}(?!\d)",
         r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
         r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-        rf"(?<![{_AN}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?![{_AN}])",
-        rf"(?<![{_AN}])(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME})?(?![{_AN}])",
+        rf"(?<![{_AN}])(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_AN}]))",
+        rf"(?<![{_AN}])(?:{_ANY_TITLE})\.? {_WORD}(?: {_WORD})*+",
     ]
 )
 _GIVEN = {
@@ -109,6 +118,12 @@ def _pick(words: tuple[str, ...], h: Column, at: Column | int) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(_number(h, at), F.lit(len(words))) + 1)
 
 
+def _hex(h: Column, n: Column) -> Column:
+    """n digits: those of the hash, and beyond them those of hashes of it with a counter."""
+    more = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor((n - 1) / 64))), lambda i: F.sha2(F.concat_ws("|", h, i.cast("string")).cast("binary"), 256))
+    return F.substring(F.when(n > 128, F.concat(h, F.array_join(more, ""))).otherwise(h), F.lit(1), n)
+
+
 def _digits(h: Column, n: Column) -> Column:
     return F.substring(F.translate(h, "abcdef", "135790"), F.lit(1), n)
 
@@ -160,7 +175,7 @@ def _canonical(p: Column) -> Column:
     host = F.when(domain.rlike(r"\..*\."), F.concat(F.lit("mail"), F.pmod(_number(h, 50), F.lit(10)).cast("string"), F.lit("."))).otherwise("")
     email = F.concat(_map_letters(local, h), tail, F.lit("@"), host, F.lit("example."), _pick(("com", "net", "org"), h, 51))
     out = F.when(t == "email", email).when(t == "ip", octets).when(t == "card", card).when(t == "phone", phone)
-    out = out.when(t == "ssn", F.concat(F.lit("9"), _digits(h, F.lit(8)))).when(t == "secret", F.substring(h, F.lit(1), n))
+    out = out.when(t == "ssn", F.concat(F.lit("9"), _digits(h, F.lit(8)))).when(t == "secret", _hex(h, n))
     out = out.when(t == "iban", F.concat(F.substring(norm, 1, 2), _map_letters(F.substring(norm, F.lit(3), n), h)))
     for g in ("m", "f"):
         out = out.when(t == f"given_{g}", _name_word(p, _GIVEN[g], _GIVEN_CYRILLIC[g])).when(t == f"surname_{g}", _surname(p, g))

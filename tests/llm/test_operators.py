@@ -162,6 +162,30 @@ def test_surrogates(spark):
     assert pii.replace(nothing(spark)).count() == 0 and pii.replace(awkward(spark)).count() == awkward(spark).count()
 
 
+def test_surrogates_of_whole_mentions(spark):
+    """No part of a mention stays: last groups of IBANs, long secrets, phones in pairs, names of several words."""
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "NL91ABNA0417164300", "NO9386011117947", "AT61 1904 3002 3457 3201", "ZZ68 5390 0754 7034 1"]
+    long, longer = "04dbebab91ab8568" * 9, "0123456789abcdef" * 4000
+    forms = [*ibans, long, longer, "+33 1 23 45 67 89", "+1 (017) 555-7713", "+44 (0)20 7946 0958", "+4930123456"]
+    names = ["Mr. John Paul Smith", "Mrs. Anna P. Smith", "Mr. O'Brien", "Herr Karl Otto Emil Schmidt-Lang", "Mr. " + " ".join(["Smith"] * 6000)]
+    rows = [(i, f"is {m} 12 so") for i, m in enumerate(forms)] + [(100 + i, f"saw {m}'s dog. The end") for i, m in enumerate(names)]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count="c").collect()}
+    for i, m in enumerate(forms[:-4]):
+        new = got[i]["text"].removeprefix("is ").removesuffix(" 12 so")
+        same = [a == b for a, b in zip(m, new)]
+        assert got[i]["c"] == 1 and len(new) == len(m) and sum(same) < 0.5 * len(m) and [c == " " for c in m] == [c == " " for c in new], m
+    assert got[0]["text"].replace(" ", "") == got[1]["text"].replace(" ", "")
+    new = got[len(ibans) + 1]["text"][3:-6]
+    assert re.fullmatch("[0-9a-f]{64000}", new) and len({new[i : i + 64] for i in range(0, 64000, 64)}) == 1000
+    for i, m in list(enumerate(forms))[-4:]:
+        shape = lambda t: re.sub(r"\d", "0", t)
+        assert got[i]["c"] == 1 and shape(got[i]["text"]) == shape(rows[i][1]) and m[-6:] not in got[i]["text"], m
+    for i, m in enumerate(names):
+        t = got[100 + i]["text"]
+        assert got[100 + i]["c"] == 1 and t.startswith(f"saw {m.split(' ')[0]} ") and t.endswith("'s dog. The end"), m
+        assert not set(re.findall(r"\w+", m)[1:]) & set(re.findall(r"\w+", t.removesuffix("'s dog. The end"))) and len(t.split(" ")) == len(f"saw {m}'s dog. The end".split(" ")), m
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With few surrogates to choose from, collisions are settled and mentions still agree."""
     monkeypatch.setattr(pii, "_SYLLABLES", ("ba", "do"))
