@@ -249,15 +249,21 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, text) -> (id, n, cls); cls is null where there are no shingles."""
+def _signed(text: str, width: int) -> Column:
+    """struct(n, cls) of a text; cls is null where there are no shingles."""
 
     @F.pandas_udf("n long, cls long")
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows = [(len(s), set_id(s)) if len(s) else (0, None) for s in shingle_sets(texts, width)]
-        return pd.DataFrame(rows, columns=["n", "cls"]).astype({"cls": "Int64"})
+        # Not by way of a float column, which would round the classes of a batch with an empty text.
+        return pd.DataFrame({"n": [n for n, _ in rows], "cls": pd.array([c for _, c in rows], dtype="Int64")}, index=texts.index)
+
+    return sign(text)
 
-    return docs.withColumn("s", sign("text")).select("id", "s.n", "s.cls")
+
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(id, text) -> (id, n, cls)."""
+    return docs.withColumn("s", _signed("text", width)).select("id", "s.n", "s.cls")
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -428,8 +434,22 @@ def _likely(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return kept.join(members, ["pivot", "cls"])
 
 
+def _same_id(known: DataFrame) -> DataFrame:
+    """Edges between the classes of each id that has several."""
+    several = stored(known.groupBy("id").agg(F.min("cls").alias("v"), F.max("cls").alias("most")).where("v <> most").select("id", "v"), "several")
+    return known.join(several, "id").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct()
+
+
 def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """key, n_shingles and component_id (the smallest id that links reach) of every row of docs."""
+    """key, n_shingles and component_id (the smallest id that links reach) of every row of docs.
+
+    Rows with one id are one document, so they have one component, also if their texts are not alike.
+    """
+    return _grouped(docs, key, text, width, num, den, True).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, by_id: bool) -> DataFrame:
+    """id, n, cls, root (the component's own name) and component_id of every row; ids join classes only with ``by_id``."""
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stored(_signatures(slim, width), "signatures")
     known = signed.where("cls is not null and id is not null")
@@ -449,6 +469,8 @@ def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     placed = cells.withColumn("chunk", F.explode(F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     placed = placed.withColumns({"block": F.lit(0), "asks": F.lit(False)})
     edges = stored(_search(placed.join(_sets_of(texts, wanted, width), "cls"), num, den), "links")
+    if by_id:
+        edges = edges.unionByName(_same_id(known))
     roots = components(edges)
     cut = cells.where("m > 1")
     if not cut.isEmpty():
@@ -460,30 +482,38 @@ def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     # The smallest document id of each component, by way of the classes.
     rooted = classes.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = rooted.join(least, "root").select("cls", "component_id")
-    out = signed.select("id", "n", "cls").join(found, "cls", "left")
-    # Rows with one id are one document: their classes may differ.
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", small: int = 500_000, **options) -> DataFrame:
-    """The rows of docs of which one of each group stays: that with the smallest id.
-
-    Rows with a null id stay. Of several rows with one id, the one whose text has the smallest hash stays.
+    found = rooted.join(least, "root").select("cls", "root", "component_id")
+    out = signed.join(found, "cls", "left")
+    if by_id:
+        # Rows without shingles follow the other rows of their id.
+        blank = signed.where("cls is null and id is not null").select("id").distinct()
+        other = stored(known.join(blank, "id").groupBy("id").agg(F.min("cls").alias("cls")).join(found, "cls").select("id", F.col("component_id").alias("__other")), "blank")
+        if not other.isEmpty():
+            out = out.join(other, "id", "left").withColumn("component_id", F.coalesce("component_id", "__other"))
+    return out.select("id", "n", "cls", "root", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", small: int = 500_000, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs of which one of each group of texts stays: that with the smallest id.
+
+    Rows with a null id stay. Texts of one id that no links join are judged apart, so none is lost with another; of several
+    texts of a group with one id, the one with the smallest hash stays.
     """
-    found = stored(link_groups(docs, key=key, text=text, **options), "groups").where(F.col(key).isNotNull())
-    again = found.groupBy(key).agg(F.count("*").alias("c"), F.max(F.col(key) != F.col("component_id")).alias("goes")).where("c > 1 or goes")
-    again = stored(again.withColumnRenamed(key, "__key"), "leaving")
+    found = stored(_grouped(docs, key, text, width, num, den, False), "groups").where("id is not null")
+    stays = F.col("id") == F.col("component_id")
+    again = found.groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("c"), F.max(~stays).alias("goes"), F.max(stays).alias("stays")).where("c > 1 or goes")
+    again = stored(again, "leaving")
     # Broadcast only after a look at the size; a shuffle join beyond it.
     side = F.broadcast(again) if again.count() <= small else again
     kept = docs.join(side, F.col(key) == F.col("__key"), "left_anti")
-    several = again.where("not goes")
+    several = again.where("c > 1 and stays")
     if several.isEmpty():
         return kept
-    rows = docs.join(several.select("__key"), F.col(key) == F.col("__key")).drop("__key")
-    first = rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text), text))).where("__r = 1").drop("__r")
-    return kept.unionByName(first)
+    rows = docs.join(several.select("__key"), F.col(key) == F.col("__key")).drop("__key").withColumn("__cls", _signed(text, width)["cls"])
+    groups = found.where(stays).select(F.col("id").alias("__key"), F.col("cls").alias("__of"), F.col("root").alias("__root")).distinct()
+    rows = rows.join(groups, (F.col(key) == F.col("__key")) & F.col("__cls").eqNullSafe(F.col("__of")))
+    first = rows.withColumn("__r", F.row_number().over(W.partitionBy(key, "__root").orderBy(F.xxhash64(text), text))).where("__r = 1")
+    return kept.unionByName(first.select(*docs.columns))
 
 
 def _unsettled(cut: DataFrame, placed: DataFrame, roots: DataFrame) -> DataFrame:

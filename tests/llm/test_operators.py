@@ -126,6 +126,17 @@ def test_groups_of_awkward_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_groups_of_equal_ids_with_different_texts(spark):
+    a, b, c, d, e = texts(5, 9)
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, d), (8, d), (8, ""), (9, e), (9, None), (10, e), (2, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.link_groups(docs).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 9), (10, 9), (2, 2)}
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.link_groups(docs.unionByName(spark.createDataFrame([(1, e)], docs.schema))).collect()} == {*got - {(9, 9), (10, 9)}, (9, 1), (10, 1), (1, 1)}
+    kept = [tuple(r) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (8, c), (8, d), (8, ""), (9, e), (9, None), (2, " ")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
