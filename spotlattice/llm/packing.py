@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotlattice.llm.util import n_words
+from spotlattice.llm.util import n_words, stored
 
 GROUP = 4096
 _LOOK = 128
@@ -96,9 +96,9 @@ def pieces(docs: DataFrame, capacity: int, *, key: str, text: str, source: str,
 
 def pack(docs: DataFrame, *, capacity: int = 2048, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, distinct_sources: bool = True, seed: int = 3) -> DataFrame:
     """key, piece, n_words, bin_id, bin_offset and bin_free of every piece of every document."""
-    rows = docs.count()
-    groups = max(1, -(-rows // GROUP))
-    cut = pieces(docs, capacity, key=key, text=text, source=source, cluster=cluster)
+    # Stored, so that words are counted once; documents may have many pieces, and groups are of pieces.
+    cut = stored(pieces(docs, capacity, key=key, text=text, source=source, cluster=cluster), "pieces")
+    groups = max(1, -(-cut.count() // GROUP))
     kind = docs.schema[key].dataType.simpleString()
     dealt = cut.withColumn("__g", F.pmod(F.xxhash64(F.lit(seed), F.col(key), "piece"), F.lit(groups)).cast("int"))
     order = ["__g", F.col("n_words").desc(), F.xxhash64(F.lit(seed), F.col(key), "piece"), F.col(key), "__cl"]

@@ -239,6 +239,14 @@ def test_packing_of_awkward_rows(spark):
     assert packing.pack(nothing(spark)).count() == 0
 
 
+def test_packing_groups_are_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    rows = [(i, " ".join(["w"] * (35 + 7 * i % 60)) + f" {i}", f"s{i}") for i in range(100)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=10).toPandas()
+    assert got.n_words.sum() == sum(len(t.split()) for _, t, _ in rows) and len(got) > 400
+    assert got.groupby(got.bin_id.astype("int64") // 2**40).size().max() <= 2 * 64
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, t, rng.choice(["a", "a", "a", "b", "c", None])) for i, t in enumerate(texts(300, 6))]
