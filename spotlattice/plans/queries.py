@@ -448,13 +448,13 @@ def adjusted_rand_index(s: Surrogate) -> DataFrame:
 # ---- rows only: random or iterative ----------------------------------------------------------------------------------
 @query
 def pca_scores(s: Surrogate) -> DataFrame:
-    return rounded(clones.pca_scores(s.log2, 5).select("spot_id", F.posexplode("pcs").alias("i", "value")), 4)
+    return rounded(clones.pca_scores(s.log2).select("spot_id", F.posexplode("pcs").alias("i", "value")), 4)
 
 
 @query
 def kmeans_clones(s: Surrogate) -> DataFrame:
-    points = clones.pca_scores(s.log2, 5)
-    return clones.choose_k(points, kmax=3, tries=2)[1].select("spot_id", "cluster")
+    points = clones.pca_scores(s.log2)
+    return clones.choose_k(points)[1].select("spot_id", "cluster")
 
 
 @query
@@ -464,7 +464,7 @@ def permutation_null_mc(s: Surrogate) -> DataFrame:
 
 @query
 def morans_i_permutation_p(s: Surrogate) -> DataFrame:
-    return rigor.morans_i_permutation(s.spots, "total_frags", n_perm=99).select("i", "p")
+    return rigor.morans_i_permutation(s.spots, "total_frags").select("i", "p")
 
 
 @query

@@ -231,3 +231,19 @@ def test_monte_carlo_agrees_with_the_closed_form(spark):
     b = rigor.permutation_significance(counts, spots, bins, ["chr8"], n_perm=400, k_xy=5, extent=6)
     x, y = ({r["spot_id"]: r["z"] for r in df.collect()} for df in (a, b))
     assert max(abs(x[k] - y[k]) for k in x) < 0.5
+
+
+def test_queries_search_as_widely_as_the_operators(spark, monkeypatch):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from spotlattice.plans import queries
+
+    pca, choose, moran = MagicMock(), MagicMock(), MagicMock()
+    monkeypatch.setattr(queries.clones, "pca_scores", pca)
+    monkeypatch.setattr(queries.clones, "choose_k", choose)
+    monkeypatch.setattr(queries.rigor, "morans_i_permutation", moran)
+    s = SimpleNamespace(log2="log2", spots="spots")
+    queries.pca_scores(s), queries.kmeans_clones(s), queries.morans_i_permutation_p(s)
+    assert pca.call_args_list == [(("log2",),)] * 2 and choose.call_args_list == [((pca.return_value,),)]
+    assert moran.call_args_list == [(("spots", "total_frags"),)]
