@@ -5,14 +5,21 @@ token falls back to its character n-grams: the longest order of which the sample
 shorter orders are tried only when it knows none. A document's score is the mean over its tokens, turned into a
 posterior over the languages.
 
-Defined cases: null text, text without letters and a model without languages give ``und`` and score 0. Ties
-between languages go to the one that sorts first. Repeated rows are scored alike; extra columns are kept.
+A token is a run of letters (Unicode's category L), in lower case; training and scoring share that one definition, so
+numerals such as ½, ² or Ⅷ are no tokens. The model is learned from a sample of the labelled documents, whose bound is
+``max_docs`` whole documents a language; ``min_words`` and ``min_grams`` hold at every size.
+
+Defined cases: null text and text without letters give ``und`` and score 0, and so does a model without languages, which
+has nothing to predict. A token of which the model knows nothing speaks for no language. Ties between languages go to the
+one that sorts first. Repeated rows are scored alike; extra columns are kept, but for those named as the output.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,11 +27,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotlattice.llm.util import share_of_hash, sized_broadcast, stored
+
 UNDETERMINED = "und"
-_TOKEN = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no decimal digits
 _CACHE_LIMIT = 200_000
 
 
+def tokens_of(text: str | None) -> list[str]:
+    found = _RUN.findall(text.lower()) if text else []
+    if "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 @dataclass
 class LangModel:
     langs: list[str]
@@ -36,16 +52,21 @@ class LangModel:
 def sample_counts(train: DataFrame, text: str, lang: str, key: str, max_docs: int, seed: int) -> pd.DataFrame:
     """(lang, word, n) over a sample of about max_docs documents a language, chosen by a hash of ``key``.
 
-    The sample bounds what comes to the driver, whatever the size of the table.
+    The sample bounds what comes to the driver, whatever the size of the table: the distinct words of that many
+    documents. A null key is a key like others.
     """
-    train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    per_lang = {r[0]: r[1] for r in train.groupBy(lang).count().collect()}
-    if not per_lang:
-        return pd.DataFrame({"lang": [], "word": [], "n": []})
-    share = F.create_map(*[F.lit(x) for k, n in sorted(per_lang.items()) for x in (k, int(min(1.0, max_docs / n) * 1_000_000))])
-    picked = train.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share[F.col(lang)])
-    words = picked.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
+    train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    per_lang = stored(train.groupBy("lang").agg((F.lit(float(max_docs)) / F.count("*")).alias("share")), "languages")
+    # A row for each language: labels are few, but nothing says so, hence the look at the size.
+    picked = train.join(sized_broadcast(per_lang, per_lang.count()), "lang").where(share_of_hash(seed, "key") < F.col("share"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = Counter((x, w) for x, t in zip(b["lang"], b["text"], strict=True) for w in tokens_of(t))
+            yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["lang", "word", "n"])
+
+    words = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
+    return words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
 
 
 def _log_rows(counts: dict[str, np.ndarray], n_langs: int) -> dict[str, tuple]:
@@ -63,10 +84,7 @@ def fit(counts: pd.DataFrame, *, max_order: int = 4, min_words: int = 2, min_gra
     words: dict[str, np.ndarray] = {}
     for lang, word, n in zip(counts["lang"], counts["word"], counts["n"], strict=True):
         words.setdefault(word, np.zeros(len(langs)))[at[lang]] += n
-    if sum(v.sum() >= min_words for v in words.values()) >= 50:
-        words = {k: v for k, v in words.items() if v.sum() >= min_words}
-    else:
-        min_grams = 1
+    words = {k: v for k, v in words.items() if v.sum() >= min_words}
     grams: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(1, max_order + 1)}
     for word, row in words.items():
         padded = f" {word} "
@@ -111,7 +129,7 @@ class Scorer:
         self.model, self.rows = model, _Rows(model)
 
     def score(self, text: str | None) -> tuple[str, float]:
-        tokens = _TOKEN.findall(text.lower()) if text and self.model.langs else []
+        tokens = tokens_of(text) if self.model.langs else []
         if not tokens:
             return UNDETERMINED, 0.0
         if len(self.rows) > self.rows.base + _CACHE_LIMIT:
@@ -141,8 +159,6 @@ def identify(docs: DataFrame, model: LangModel, *, text: str = "text", pred: str
     return out.withColumns({pred: F.col("__lang_id.lang"), score: F.col("__lang_id.score")}).drop("__lang_id")
 
 
-def train_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 500, seed: int = 7, max_order: int = 4) -> LangModel:
-    """Fit on a bounded sample: about max_docs labelled documents a language."""
-    return fit(sample_counts(docs, text, lang, key, max_docs, seed), max_order=max_order)
-
-
+def train_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 500, seed: int = 7, **options) -> LangModel:
+    """Fit on a bounded sample: about max_docs labelled documents a language. ``options`` are those of ``fit``."""
+    return fit(sample_counts(docs, text, lang, key, max_docs, seed), **options)

@@ -5,25 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What ``stored`` has written in this process and nobody has discarded yet.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests)."""
+    """The folder that driver and executors share. One of our own only where none is configured and everything runs in
+    one process (tests); on a cluster a machine's own folder would lose data, so there it is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spotlattice-")
         sc.setCheckpointDir(base)
     return str(base).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +42,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables and archives written so far, once the results that read them are used; how many."""
+    gone, hadoop = 0, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    return gone
+
+
+def sized_broadcast(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """df marked for a broadcast if it has no more than ``most`` rows; as it is, for a shuffle join, beyond that."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def share_of_hash(seed: int, *keys: Column | str) -> Column:
+    """A number from 0 up to 1 for each row, by a hash of its keys: below x for a share x of them, however small x is."""
+    return F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
