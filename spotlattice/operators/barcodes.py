@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.functions.exprs import device_order, hamming, parse_index_ranges
+from spotlattice.functions.exprs import device_order, parse_index_ranges
 
 LENGTH = 8
+MASK = "*"
 X_SELECTED, Y_SELECTED = "49-74,121-144", "49-70,73-78,123-144"
 
 
@@ -31,39 +32,52 @@ def read_barcode_reference(spark: SparkSession, path: str, axis: str) -> DataFra
 
 
 def variants(refs: DataFrame) -> DataFrame:
-    """variant, code, n_codes: every string one base off a code; n_codes tells how many codes it is one base off."""
+    """form, code, n_codes: every string one base off a code, and every code with one place masked; n_codes tells how many
+    codes have the form. A few thousand rows."""
     spots = F.explode(F.sequence(F.lit(1), F.lit(LENGTH)))
-    each = refs.select("code", spots.alias("i")).select("code", "i", F.explode(F.array(*map(F.lit, "ACGT"))).alias("base")).where(F.substring("code", F.col("i"), F.lit(1)) != F.col("base"))
-    made = each.select("code", F.concat(F.expr("substring(code, 1, i - 1)"), "base", F.expr("substring(code, i + 1)")).alias("variant"))
-    return made.groupBy("variant").agg(F.min("code").alias("code"), F.countDistinct("code").alias("n_codes"))
+    forms = F.explode(F.array(*map(F.lit, "ACGT"), F.lit(MASK)))
+    each = refs.select("code", spots.alias("i")).select("code", "i", forms.alias("base")).where(F.substring("code", F.col("i"), F.lit(1)) != F.col("base"))
+    made = each.select("code", F.overlay("code", "base", F.col("i"), F.lit(1)).alias("form"))
+    return made.groupBy("form").agg(F.min("code").alias("code"), F.countDistinct("code").alias("n_codes"))
+
+
+def _nearest(halves: DataFrame, refs: DataFrame, max_mm: int) -> DataFrame:
+    """form, code, n_codes, mm of the distinct halves that have codes within max_mm: each is held against every code, once."""
+    differ = lambda i: (F.substring("form", i, 1) != F.substring("code", i, 1)).cast("int")
+    far = halves.join(F.broadcast(refs.select("code"))).withColumn("mm", sum((differ(i) for i in range(2, LENGTH + 1)), differ(1))).where(F.col("mm") <= max_mm)
+    # How many codes there are at each distance, and the first of the nearest ones, in one pass.
+    counts = [F.count_if(F.col("mm") == d).alias(f"c{d}") for d in range(max_mm + 1)]
+    best = far.groupBy("form").agg(F.min(F.struct("mm", "code")).alias("b"), *counts)
+    return best.select("form", "b.code", F.element_at(F.array(*[F.col(f"c{d}") for d in range(max_mm + 1)]), F.col("b.mm") + 1).alias("n_codes"), "b.mm")
 
 
 def match_halves(queries: DataFrame, refs: DataFrame, column: str, max_mm: int = 1) -> DataFrame:
     """queries with status, match and mm of ``column``: exact, else the only code at the least distance up to max_mm.
 
-    References are a few hundred codes, so they and their variants are broadcast: no shuffle of the queries. Strings
-    with other letters than ACGT, and larger distances, are compared with every code, once each.
+    References are a few hundred codes, so they and their forms are broadcast: no shuffle of the queries. A letter other
+    than ACGT is a mismatch by itself, so a half with one of them is looked up with that place masked, and one with more
+    has no code at a distance of 1. Larger distances, and references with other letters, are compared with every code.
     """
     q = F.upper(F.trim(column))
     df = queries.withColumn("__q", q).join(F.broadcast(refs.select(F.col("code").alias("__exact"))), F.col("__q") == F.col("__exact"), "left")
     status = F.when(F.length("__q") != LENGTH, "bad_length").when(F.col("__exact").isNotNull(), "exact")
     if max_mm <= 0:
         return df.withColumns({"status": status.otherwise("unmapped"), "match": F.col("__exact"), "mm": F.when(F.col("__exact").isNotNull(), 0)}).drop("__q", "__exact")
-    near = variants(refs).withColumn("mm", F.lit(1))
-    open_ = df.where("__exact is null").where((F.length("__q") == LENGTH) & (~F.col("__q").rlike("^[ACGT]+$") | F.lit(max_mm > 1))).select(F.col("__q").alias("variant")).distinct()
-    far = open_.join(F.broadcast(refs), hamming(F.col("variant"), F.col("code")) <= max_mm).withColumn("mm", hamming(F.col("variant"), F.col("code")))
-    best = far.groupBy("variant").agg(F.min("mm").alias("least")).join(far, "variant").where("mm = least")
-    best = best.groupBy("variant").agg(F.min("code").alias("code"), F.countDistinct("code").alias("n_codes"), F.min("mm").alias("mm"))
-    table = best if max_mm > 1 else near.unionByName(best)
-    df = df.join(table if max_mm > 1 else F.broadcast(table), F.col("__q") == F.col("variant"), "left")
-    hit = F.col("n_codes")
-    return df.withColumns(
+    if max_mm == 1 and refs.where(~F.col("code").rlike("^[ACGT]+$")).isEmpty():
+        table = F.broadcast(variants(refs).withColumn("mm", F.lit(1)))
+        df = df.withColumn("form", F.regexp_replace("__q", "[^ACGT]", MASK))
+    else:
+        open_ = df.where(F.col("__exact").isNull() & (F.length("__q") == LENGTH)).select(F.col("__q").alias("form")).distinct()
+        table = _nearest(open_, refs, max_mm)
+        df = df.withColumn("form", F.col("__q"))
+    hit = F.when(F.length("__q") == LENGTH, F.col("n_codes"))
+    return df.join(table, "form", "left").withColumns(
         {
             "status": status.when(hit > 1, "ambiguous").when(hit == 1, "corrected").otherwise("unmapped"),
-            "match": F.coalesce("__exact", F.when((hit == 1) & (F.length("__q") == LENGTH), F.col("code"))),
+            "match": F.coalesce("__exact", F.when(hit == 1, F.col("code"))),
             "mm": F.when(F.col("__exact").isNotNull(), 0).when(hit >= 1, F.col("mm")),
         }
-    ).drop("__q", "__exact", "variant", "code", "n_codes")
+    ).drop("__q", "__exact", "form", "code", "n_codes")
 
 
 def fixed_axis(refs: DataFrame, selected: str) -> DataFrame:

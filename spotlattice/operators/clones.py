@@ -1,56 +1,93 @@
-"""Clones: principal components, double smoothing, clustering, and their guards."""
+"""Clones: principal components, double smoothing, clustering, and their guards.
+
+A section's spots are a few thousand by the physics of the chip, so a section is the unit of work: its matrix is one group,
+in one task, and a cohort is as many tasks. What crosses sections is keyed by ``sample`` throughout.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlattice.functions.exprs import ratio
 from spotlattice.functions.reuse import reused
+from spotlattice.operators.copynumber import log2_ratio
 from spotlattice.operators.neighbors import knn_vectors, knn_xy
 
 
+def principal_components(x: np.ndarray, n_pcs: int) -> np.ndarray:
+    """Scores of the rows of x, columns centred; each component's loading of the largest size is positive."""
+    x = x - x.mean(axis=0)
+    k = min(n_pcs, x.shape[1], max(len(x) - 1, 1))
+    if len(x) <= x.shape[1]:  # by the smaller of the two products
+        values, vectors = np.linalg.eigh(x @ x.T)
+        scores = vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
+        loadings = x.T @ scores
+    else:
+        loadings = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :k]
+        scores = x @ loadings
+    top = loadings[np.abs(loadings).argmax(axis=0), np.arange(k)]
+    return scores * np.where(top < 0, -1.0, 1.0)
+
+
 def pca_scores(log2: DataFrame, n_pcs: int = 15) -> DataFrame:
-    """sample, spot_id, pcs of one sample. Columns are centred first, and each component's largest loading is positive."""
-    wide = log2.groupBy("sample", "spot_id").agg(F.array_sort(F.collect_list(F.struct("bin_id", "value"))).alias("cells"))
-    wide = wide.select("sample", "spot_id", F.transform("cells", lambda c: F.coalesce(c["value"], F.lit(0.0))).alias("v"))
-    flat = wide.select("sample", "spot_id", F.posexplode("v").alias("i", "x"))
-    centred = flat.withColumn("x", F.col("x") - F.avg("x").over(W.partitionBy("i")))
-    rows = centred.groupBy("sample", "spot_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
-    vectors = rows.select("sample", "spot_id", array_to_vector(F.transform("c", lambda c: c["x"])).alias("v")).cache()
-    first = vectors.first()
-    if first is None:
-        return vectors.select("sample", "spot_id", F.array().cast("array<double>").alias("pcs"))
-    k = min(n_pcs, len(first["v"]), max(vectors.count() - 1, 1))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    loadings = model.pc.toArray()
-    signs = [1.0 if abs(c.max()) >= abs(c.min()) else -1.0 for c in loadings.T]
-    flip = F.array(*[F.lit(s) for s in signs])
-    return model.transform(vectors).select("sample", "spot_id", F.zip_with(vector_to_array("p"), flip, lambda x, s: x * s).alias("pcs"))
+    """sample, spot_id, pcs of every section, over the bins that any of its spots has; a missing or null value counts 0."""
+    rows = log2.groupBy("sample", "spot_id").agg(F.collect_list(F.struct("bin_id", F.coalesce("value", F.lit(0.0)).alias("value"))).alias("c"))
+    rows = rows.select("sample", "spot_id", F.transform("c", lambda c: c["bin_id"]).alias("bins"), F.transform("c", lambda c: c["value"]).alias("values"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot_id", ignore_index=True)
+        bins, at = np.unique(np.concatenate(pdf["bins"].to_list()), return_inverse=True)
+        x = np.zeros((len(pdf), len(bins)))
+        x[np.repeat(np.arange(len(pdf)), pdf["bins"].map(len)), at] = np.concatenate(pdf["values"].to_list())
+        return pdf[["sample", "spot_id"]].assign(pcs=list(principal_components(x, n_pcs)))
+
+    return rows.groupBy("sample").applyInPandas(run, "sample string, spot_id int, pcs array<double>")
 
 
 def _mean_over(knn: DataFrame, points: DataFrame, key: str, vector: str) -> DataFrame:
-    """The element-wise mean of the vectors of each point's neighbours."""
-    joined = knn.select("src", F.col("dst").alias(key)).join(points.select(key, F.posexplode(vector).alias("i", "x")), key)
-    means = joined.groupBy("src", "i").agg(F.avg("x").alias("x"))
-    return means.groupBy(F.col("src").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias(vector))
+    """The element-wise mean of the vectors of each point's neighbours, in its own sample."""
+    joined = knn.select("sample", "src", F.col("dst").alias(key)).join(points.select("sample", key, F.posexplode(vector).alias("i", "x")), ["sample", key])
+    means = joined.groupBy("sample", "src", "i").agg(F.avg("x").alias("x"))
+    return means.groupBy("sample", F.col("src").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias(vector))
 
 
 def double_smooth(points: DataFrame, spots: DataFrame, *, k_pc: int = 50, k_xy: int = 50, k_join: int = 10, extent: int = 50) -> DataFrame:
-    """points(spot_id, pcs) averaged over the k_pc nearest in PC space, then over the min(k_join, k_xy) nearest on the grid."""
-    once = _mean_over(knn_vectors(points, k_pc, key="spot_id", vector="pcs"), points, "spot_id", "pcs")
+    """points(sample, spot_id, pcs) averaged over the k_pc nearest in PC space, then over the min(k_join, k_xy) nearest on
+    the grid, both in the same section."""
+    once = _mean_over(knn_vectors(points, k_pc, key="spot_id", vector="pcs", by="sample"), points, "spot_id", "pcs")
     return _mean_over(knn_xy(spots, min(k_join, k_xy), extent), once, "spot_id", "pcs")
 
 
 def depth_confound(points: DataFrame, spots: DataFrame) -> DataFrame:
-    """Correlation of the first component with the log10 coverage; null if either does not vary."""
-    df = points.join(spots, ["sample", "spot_id"]).select(F.col("pcs")[0].alias("p"), F.log10(F.col("total_frags") + 1.0).alias("c"))
+    """sample, n_pcs, depth_confound_r_pc1: the first component's correlation with the log10 coverage, null if either does
+    not vary."""
+    df = points.join(spots, ["sample", "spot_id"]).select("sample", F.size("pcs").alias("k"), F.col("pcs")[0].alias("p"), F.log10(F.col("total_frags") + 1.0).alias("c"))
     vary = (F.var_pop("p") > 0) & (F.var_pop("c") > 0)
-    return df.agg(F.when(vary, F.covar_pop("p", "c") / F.nullif(F.stddev_pop("p") * F.stddev_pop("c"), F.lit(0.0))).alias("depth_confound_r_pc1"))
+    return df.groupBy("sample").agg(F.max("k").alias("n_pcs"), F.when(vary, F.covar_pop("p", "c") / F.nullif(F.stddev_pop("p") * F.stddev_pop("c"), F.lit(0.0))).alias("depth_confound_r_pc1"))
+
+
+class Smoothed(NamedTuple):
+    """What dual_smooth finds, as tables keyed by sample."""
+
+    log2: DataFrame  #: sample, spot_id, bin_id, value
+    pcs: DataFrame  #: sample, spot_id, pcs
+    smoothed: DataFrame  #: the same, smoothed twice
+    summary: DataFrame  #: sample, n_pcs, depth_confound_r_pc1
+
+
+def dual_smooth(relative: DataFrame, spots: DataFrame, bins: DataFrame, *, n_pcs: int = 15, k_pc: int = 50, k_xy: int = 50, k_join: int = 10, genome_win: int = 3, regress_depth: bool = True, extent: int = 50) -> Smoothed:
+    """The log2 ratio layer of a relative layer, its principal components, and these smoothed in PC space and on the grid."""
+    present = spots.where("total_frags > 0")
+    log2 = reused(log2_ratio(relative, spots, bins, genome_win=genome_win, regress_depth=regress_depth))
+    pcs = reused(pca_scores(log2, n_pcs))
+    smoothed = reused(double_smooth(pcs, present, k_pc=k_pc, k_xy=k_xy, k_join=k_join, extent=extent))
+    return Smoothed(log2, pcs, smoothed, depth_confound(pcs, present))
 
 
 def calinski_harabasz(points: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
@@ -63,61 +100,124 @@ def calinski_harabasz(points: DataFrame, label: str = "label", vector: str = "v"
     return out.withColumn("ch", ratio(ratio(F.col("between"), F.col("k") - 1), ratio(F.col("within"), F.col("n") - F.col("k"))))
 
 
-def choose_k(points: DataFrame, *, kmin: int = 2, kmax: int = 8, tries: int = 10, seed: int = 0, vector: str = "pcs") -> tuple[int, DataFrame, dict[int, float]]:
-    """The number of clusters of the best index, the points with ``cluster``, and the index of every k that was tried."""
-    data = points.withColumn("__v", array_to_vector(vector)).cache()
-    top = min(kmax, data.count() - 1)
-    best, scores = None, {}
-    for k in range(kmin, top + 1):
-        models = [KMeans(k=k, seed=seed + t, featuresCol="__v", predictionCol="cluster").fit(data) for t in range(tries)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        labelled = model.transform(data)
-        row = calinski_harabasz(labelled, "cluster", vector).first()
-        if row["k"] < 2 or row["ch"] is None:
-            continue
-        scores[k] = float(row["ch"])
-        if best is None or scores[k] > scores[best[0]]:
-            best = (k, labelled)
-    if best is None:
-        labelled = KMeans(k=2, seed=seed, featuresCol="__v", predictionCol="cluster").fit(data).transform(data)
-        return 2, labelled.drop("__v"), {2: 0.0}
-    return best[0], best[1].drop("__v"), scores
+def k_means(x: np.ndarray, k: int, tries: int, rng: np.random.Generator, rounds: int = 300) -> np.ndarray:
+    """Labels of the best of several runs of Lloyd's algorithm from spread starts; clusters are numbered by first member."""
+    best, cost = np.zeros(len(x), int), np.inf
+    for _ in range(tries):
+        centres = x[[rng.integers(len(x))]]
+        for _ in range(k - 1):
+            far = ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+            p = far / far.sum() if far.sum() > 0 else None
+            centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
+        labels = None
+        for _ in range(rounds):
+            d = ((x[:, None] - centres) ** 2).sum(axis=2)
+            now = d.argmin(axis=1)
+            if labels is not None and (now == labels).all():
+                break
+            labels = now
+            for j in np.flatnonzero(np.bincount(labels, minlength=k)):
+                centres[j] = x[labels == j].mean(axis=0)
+        spent = float(((x - centres[labels]) ** 2).sum())
+        if spent < cost - 1e-9:
+            best, cost = labels, spent
+    return np.unique(best, return_index=True)[1].argsort().argsort()[np.unique(best, return_inverse=True)[1]]
+
+
+def variance_ratio(x: np.ndarray, labels: np.ndarray) -> float | None:
+    """The index of Calinski and Harabasz; None if it is not defined."""
+    k, n = len(np.unique(labels)), len(x)
+    if not 2 <= k < n:
+        return None
+    means = np.stack([x[labels == c].mean(axis=0) for c in np.unique(labels)])
+    size = np.bincount(labels)[np.unique(labels)]
+    between = float((size[:, None] * (means - x.mean(axis=0)) ** 2).sum())
+    within = float(((x - means[np.searchsorted(np.unique(labels), labels)]) ** 2).sum())
+    return 1.0 if within == 0 else between / (k - 1) / (within / (n - k))
+
+
+def choose_k(points: DataFrame, *, kmin: int = 2, kmax: int = 8, tries: int = 10, seed: int = 0, vector: str = "pcs") -> tuple[DataFrame, DataFrame]:
+    """The clusters of each sample's points at the number of the best index: sample, spot_id, cluster; and sample, k,
+    ch_scores (an array of (k, ch) of all that were tried). Without any index two clusters are made."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot_id", ignore_index=True)
+        x = np.nan_to_num(np.stack(pdf[vector].to_list()).astype(float), posinf=0.0, neginf=0.0)
+        best, scores = None, []
+        for k in range(kmin, min(kmax, len(x) - 1) + 1):
+            labels = k_means(x, k, tries, np.random.default_rng([seed, k]))
+            ch = variance_ratio(x, labels)
+            if ch is not None:
+                scores.append({"k": k, "ch": ch})
+                if best is None or ch > best[0]:
+                    best = (ch, k, labels)
+        if best is None:
+            best, scores = (0.0, 2, k_means(x, min(2, len(x)), tries, np.random.default_rng(seed))), [{"k": 2, "ch": 0.0}]
+        return pdf[["sample", "spot_id"]].assign(cluster=best[2], k=best[1], ch_scores=[scores] * len(pdf))
+
+    found = reused(points.select("sample", "spot_id", vector).groupBy("sample").applyInPandas(run, "sample string, spot_id int, cluster int, k int, ch_scores array<struct<k:int,ch:double>>"))
+    return found.select("sample", "spot_id", "cluster"), found.groupBy("sample").agg(F.first("k").alias("k"), F.first("ch_scores").alias("ch_scores"))
 
 
 def clone_profiles(log2: DataFrame, labels: DataFrame, n_bins_total: int) -> tuple[DataFrame, DataFrame]:
-    """From labels(sample, spot_id, cluster): (cluster, clone), and profiles (clone, bin_id, cna).
+    """From labels(sample, spot_id, cluster): (sample, cluster, clone, aberration), and profiles (sample, clone, bin_id, cna).
 
-    The cluster of the lowest median absolute log2 ratio, over all bins (those without a value count 0), is Normal; the
-    others are Clone1, Clone2, ... by falling mean absolute aberration.
+    In each sample the cluster of the lowest median absolute log2 ratio, over all bins (those without a value count 0), is
+    Normal; the others are Clone1, Clone2, ... by falling mean absolute aberration. Medians are of values to five places.
     """
+    group = ["sample", "cluster"]
     df = reused(log2.join(labels.select("sample", "spot_id", "cluster"), ["sample", "spot_id"]))
-    size = labels.groupBy("cluster").agg(F.count("*").alias("spots"))
-    # The median over spots * n_bins_total values of which those without a row are 0: a rank in the sorted non-zero ones.
-    have = df.groupBy("cluster").agg(F.count("*").alias("c")).join(size, "cluster").withColumn("zeros", F.col("spots") * n_bins_total - F.col("c"))
-    absolute = df.select("cluster", F.abs("value").alias("a"))
-    ranked = absolute.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy("a"))).join(have, "cluster")
-    n = F.col("c") + F.col("zeros")
-    lo, hi = F.floor((n + 1) / 2) - F.col("zeros"), F.floor((n + 2) / 2) - F.col("zeros")
-    flat = ranked.groupBy("cluster").agg((F.coalesce(F.max(F.when(F.col("r") == lo, F.col("a"))), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("r") == hi, F.col("a"))), F.lit(0.0))).alias("twice"))
-    normal = flat.agg(F.min(F.struct("twice", "cluster"))["cluster"].alias("normal"))
-    means = reused(df.groupBy("cluster", "bin_id").agg(F.avg("value").alias("m")))
-    base = means.join(F.broadcast(normal), means["cluster"] == F.col("normal")).select("bin_id", F.col("m").alias("base"))
-    diff = means.join(base, "bin_id").withColumn("d", F.col("m") - F.col("base"))
-    middle = diff.groupBy("cluster").agg(F.median("d").alias("md"))
-    cna = diff.join(F.broadcast(middle), "cluster").select("cluster", "bin_id", (F.col("d") - F.col("md")).alias("cna"))
-    aber = cna.groupBy("cluster").agg(F.avg(F.abs("cna")).alias("aberration")).join(F.broadcast(normal))
-    order = F.row_number().over(W.orderBy((F.col("cluster") == F.col("normal")).desc(), F.col("aberration").desc(), "cluster")) - 1
-    names = aber.select("cluster", F.when(order == 0, "Normal").otherwise(F.concat(F.lit("Clone"), order)).alias("clone"), "aberration")
-    return names, cna.join(F.broadcast(names), "cluster").select("clone", "bin_id", "cna")
-
-
-def clone_diagnostics(profiles: DataFrame, n_bins_total: int, ch_scores: dict[int, float], chosen_k: int, *, distinct_thresh: float = 0.2, distinct_floor: float = 0.05) -> DataFrame:
-    """Distinctness over all bins (bins without a profile count as alike), whether k is at the search's edge, and the verdict."""
-    spread = profiles.groupBy("bin_id").agg((F.max("cna") - F.min("cna")).alias("s"))
-    wide = spread.agg(F.coalesce(F.sum((F.col("s") > distinct_thresh).cast("int")), F.lit(0)).alias("c"))
-    edge = bool(ch_scores) and chosen_k == max(ch_scores) and ch_scores[chosen_k] == max(ch_scores.values())
-    d = F.col("c") / F.lit(float(n_bins_total))
-    return wide.select(d.alias("clone_cna_distinctness"), F.lit(chosen_k).alias("chosen_k"), F.lit(edge).alias("ch_boundary_k"), ((d < distinct_floor) | F.lit(edge)).alias("clones_likely_artifact"))
+    # Each value once with its frequency, and 0 as often as a cell has no row.
+    sizes = F.round(F.abs("value"), 5).alias("a")
+    every = labels.groupBy(*group).agg((F.count("*") * n_bins_total).alias("cells"))
+    have = df.groupBy(*group, sizes).agg(F.count("*").alias("c"))
+    zeros = every.join(have.groupBy(*group).agg(F.sum("c").alias("h")), group, "left").select(*group, F.lit(0.0).alias("a"), (F.col("cells") - F.coalesce("h", F.lit(0))).alias("c"))
+    flat = have.unionByName(zeros).where("c > 0").groupBy(*group).agg(F.percentile("a", 0.5, F.col("c")).alias("flat"))
+    normal = flat.groupBy("sample").agg(F.min(F.struct("flat", "cluster"))["cluster"].alias("normal"))
+    means = reused(df.groupBy(*group, "bin_id").agg(F.avg("value").alias("m")))
+    base = means.join(normal, "sample").where("cluster = normal").select("sample", "normal", "bin_id", F.col("m").alias("base"))
+    diff = reused(means.join(base, ["sample", "bin_id"]).withColumn("d", F.col("m") - F.col("base")))
+    middle = diff.groupBy(*group).agg(F.median("d").alias("md"))
+    cna = diff.join(middle, group).select(*group, "normal", "bin_id", (F.col("d") - F.col("md")).alias("cna"))
+    aber = cna.groupBy(*group, "normal").agg(F.avg(F.abs("cna")).alias("aberration"))
+    order = F.row_number().over(W.partitionBy("sample").orderBy((F.col("cluster") == F.col("normal")).desc(), F.col("aberration").desc(), "cluster")) - 1
+    names = aber.select(*group, F.when(order == 0, "Normal").otherwise(F.concat(F.lit("Clone"), order)).alias("clone"), "aberration")
+    return names, cna.join(names, group).select("sample", "clone", "bin_id", "cna")
+
+
+class Clones(NamedTuple):
+    """What call_clones finds, as tables keyed by sample."""
+
+    labels: DataFrame  #: sample, spot_id, cluster (-1 for spots without fragments), clone ("empty" for those)
+    profiles: DataFrame  #: sample, clone, bin_id, cna
+    names: DataFrame  #: sample, cluster, clone, aberration, n_spots
+    summary: DataFrame  #: sample, k, normal_cluster, ch_scores
+
+
+def call_clones(found: Smoothed | None, spots: DataFrame, n_bins_total: int, *, kmin: int = 2, kmax: int = 8, tries: int = 10, seed: int = 0) -> Clones:
+    """Clones of each section from its smoothed components: clusters, their names and their profiles."""
+    if found is None:
+        raise ValueError("run dual_smooth first")
+    clusters, chosen = choose_k(found.smoothed, kmin=kmin, kmax=kmax, tries=tries, seed=seed)
+    names, profiles = clone_profiles(found.log2, clusters, n_bins_total)
+    names = reused(names.join(clusters.groupBy("sample", "cluster").agg(F.count("*").alias("n_spots")), ["sample", "cluster"]))
+    named = clusters.join(names.select("sample", "cluster", "clone"), ["sample", "cluster"], "left")
+    labels = spots.select("sample", "spot_id").join(named, ["sample", "spot_id"], "left")
+    clone = F.when(F.col("cluster").isNull(), "empty").otherwise(F.coalesce("clone", F.lit("NA")))
+    labels = labels.select("sample", "spot_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), clone.alias("clone"))
+    normal = names.where("clone = 'Normal'").select("sample", F.col("cluster").alias("normal_cluster"))
+    return Clones(labels, profiles, names, chosen.join(normal, "sample", "left"))
+
+
+def clone_diagnostics(profiles: DataFrame, n_bins_total: int, chosen: DataFrame, *, distinct_thresh: float = 0.2, distinct_floor: float = 0.05) -> DataFrame:
+    """For each sample distinctness over all bins (bins without a profile count as alike), whether k is at the search's
+    edge, and the verdict. ``chosen`` is (sample, k, ch_scores)."""
+    spread = profiles.groupBy("sample", "bin_id").agg((F.max("cna") - F.min("cna")).alias("s"))
+    wide = spread.groupBy("sample").agg(F.sum((F.col("s") > distinct_thresh).cast("int")).alias("c"))
+    last = F.array_max("ch_scores")  # by k
+    edge = (F.col("k") == last["k"]) & (last["ch"] == F.array_max(F.transform("ch_scores", lambda x: x["ch"])))
+    out = chosen.join(wide, "sample", "left").select("sample", (F.coalesce("c", F.lit(0)) / F.lit(float(n_bins_total))).alias("clone_cna_distinctness"), F.col("k").alias("chosen_k"), F.coalesce(edge, F.lit(False)).alias("ch_boundary_k"))
+    return out.withColumn("clones_likely_artifact", (F.col("clone_cna_distinctness") < distinct_floor) | F.col("ch_boundary_k"))
 
 
 def adjusted_rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -10,14 +10,14 @@ from spotlattice.functions.exprs import clip, log2_floor, ratio
 from spotlattice.functions.genome import is_autosome
 from spotlattice.functions.reuse import reused
 from spotlattice.operators.neighbors import densify, knn_xy, neighbour_total
-from spotlattice.operators.normalize import bin_reference, library_scaled, qc_bins, reference_spots
+from spotlattice.operators.normalize import bin_key, bin_reference, library_scaled, qc_bins, reference_spots
 
 
 def genome_smooth(layer: DataFrame, bins: DataFrame, win: int = 3) -> DataFrame:
     """Median filter along each chromosome's kept bins, the edge value repeated; chromosomes of fewer bins stay as they are."""
     if win % 2 == 0:
         raise ValueError("the window must be odd")
-    df = layer.join(F.broadcast(bins.select("sample", "bin_id", "chr")), ["sample", "bin_id"])
+    df = layer.join(bins.select(*bin_key(bins), "chr"), bin_key(bins))
     line = W.partitionBy("sample", "spot_id", "chr")
     ordered, whole = line.orderBy("bin_id"), line.orderBy("bin_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     half = win // 2
@@ -49,18 +49,18 @@ def log2_ratio(relative: DataFrame, spots: DataFrame, bins: DataFrame, *, genome
     out = log2_centered(relative)
     if regress_depth:
         out = depth_residualized(out, spots)
-    return genome_smooth(out, qc_bins(bins, spots), genome_win).withColumn("value", clip(F.col("value"), -2.0, 2.0))
+    return genome_smooth(out, qc_bins(bins), genome_win).withColumn("value", clip(F.col("value"), -2.0, 2.0))
 
 
 def copy_number(layer: DataFrame, spots: DataFrame, bins: DataFrame, *, k_spatial: int = 49, genome_win: int = 3, mask: DataFrame | None = None, extent: int = 50) -> DataFrame:
     """The copy_number layer of QC bins and present spots: sums over neighbours, scaled, over the pseudo-normal, the
     autosomal median set to 2, smoothed and clipped to [0, 6]."""
-    present, kept = spots.where("total_frags > 0"), qc_bins(bins, spots)
-    inside = layer.join(F.broadcast(kept.select("sample", "bin_id")), ["sample", "bin_id"], "left_semi")
+    present, kept = spots.where("total_frags > 0"), qc_bins(bins)
+    inside = layer.join(kept.select(*bin_key(kept)), bin_key(kept), "left_semi")
     dense = reused(densify(neighbour_total(inside, knn_xy(present, k_spatial, extent), "sum"), present, kept))
     scaled = reused(library_scaled(dense, dense))
     rel = scaled.join(bin_reference(scaled, reference_spots(spots, mask)), ["sample", "bin_id"]).withColumn("value", ratio(F.col("value"), F.col("ref")))
-    rel = reused(rel.join(F.broadcast(kept), ["sample", "bin_id"]))
+    rel = reused(rel.join(kept, bin_key(kept)))
     base = rel.groupBy("sample", "spot_id").agg(F.median(F.when(is_autosome(F.col("chr")), F.col("value"))).alias("base"))
     base = base.withColumn("base", F.when(F.col("base") > 0, F.col("base")))
     cn = rel.join(base, ["sample", "spot_id"]).select("sample", "spot_id", "bin_id", F.coalesce(ratio(F.col("value"), F.col("base")) * 2.0, F.lit(2.0)).alias("value"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def knn_xy(spots: DataFrame, k: int, extent: int = 50) -> DataFrame:
         return near.join(right, ["sample", "px", "py"]).withColumns({"found": F.count("*").over(by_src), "rank": F.row_number().over(by_src.orderBy("dist2", "dst"))})
 
     ranked = lambda df: df.where(F.col("rank") <= F.col("want")).select("sample", "src", "dst", "dist2", "rank", F.col("want").alias("k"))
-    every = left.join(F.broadcast(total), "sample")
+    every = left.join(total, "sample")
     radius = min(2 * (math.ceil(math.sqrt(k / math.pi)) + 1), last)
     first = within(every, radius)
     if radius == last:
@@ -62,36 +64,35 @@ def neighbour_total(layer: DataFrame, knn: DataFrame, how: str = "mean", value:
 
 
 def densify(layer: DataFrame, spots: DataFrame, bins: DataFrame, value: str = "value") -> DataFrame:
-    """Every present spot by every bin, zeros spelled out: for medians, to which zeros matter. bins has sample and bin_id."""
-    cells = spots.where("total_frags > 0").select("sample", "spot_id").join(bins.select("sample", "bin_id"), "sample")
+    """Every present spot by every bin, zeros spelled out: for medians, to which zeros matter. bins has bin_id, and sample if
+    they differ by sample."""
+    present = spots.where("total_frags > 0").select("sample", "spot_id")
+    cells = present.join(bins.select("sample", "bin_id"), "sample") if "sample" in bins.columns else present.join(F.broadcast(bins.select("bin_id")))  # a genome
     return cells.join(layer, ["sample", "spot_id", "bin_id"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def knn_vectors(points: DataFrame, k: int, *, key: str = "id", vector: str = "v", block: int = 2048) -> DataFrame:
-    """src, dst, dist2, rank of the k nearest vectors (itself among them; ties by id).
+def knn_vectors(points: DataFrame, k: int, *, key: str = "id", vector: str = "v", by: str | None = None, block: int = 2048) -> DataFrame:
+    """src, dst, dist2, rank of the k nearest vectors (itself among them; ties by id), in the same ``by`` if there is one.
 
     Blocks of points meet blocks of points: each task holds two blocks, and only k candidates of a point leave it.
     """
-    import numpy as np
-    import pandas as pd
-
-    n = points.count()
-    n_blocks = max(1, -(-n // block))
-    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    group = [by] if by else []
+    kind = [f"`{by}` {points.schema[by].dataType.simpleString()}"] if by else []
+    most = points.groupBy(*group).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    n_blocks = max(1, -(-most // block))
+    rows = points.select(*group, F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    both = rows.select("id", "v", F.col("b").alias("p"), other.alias("q"), F.lit(True).alias("asks")).unionByName(rows.select("id", "v", other.alias("p"), F.col("b").alias("q"), F.lit(False).alias("asks")))
+    both = rows.select(*group, "id", "v", F.col("b").alias("p"), other.alias("q"), F.lit(True).alias("asks")).unionByName(rows.select(*group, "id", "v", other.alias("p"), F.col("b").alias("q"), F.lit(False).alias("asks")))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
         if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "dist2": []})
-        x, y = np.stack(a["v"].to_list()), np.stack(b["v"].to_list())
-        ids, m, out = b["id"].to_numpy(), min(k, len(b)), []
-        for at, row in zip(a["id"], x, strict=True):
-            d = ((y - row) ** 2).sum(axis=1)
-            top = np.lexsort((ids, d))[:m]
-            out.append(pd.DataFrame({"src": at, "dst": ids[top], "dist2": d[top]}))
-        return pd.concat(out)
-
-    found = both.groupBy("p", "q").applyInPandas(nearest, "src long, dst long, dist2 double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("dist2", "dst"))).where(F.col("rank") <= k)
+            return pd.DataFrame({c: [] for c in (*group, "src", "dst", "dist2")})
+        x, y, ids, m = np.stack(a["v"].to_list()), np.stack(b["v"].to_list()), b["id"].to_numpy(), min(k, len(b))
+        dist = np.stack([((y - row) ** 2).sum(axis=1) for row in x])
+        top = np.argsort(dist, axis=1, kind="stable")[:, :m]  # b is in the order of ids, so ties are too
+        out = pd.DataFrame({"src": np.repeat(a["id"].to_numpy(), m), "dst": ids[top].ravel(), "dist2": np.take_along_axis(dist, top, axis=1).ravel()})
+        return out.assign(**{g: pdf[g].iloc[0] for g in group})[[*group, "src", "dst", "dist2"]]
+
+    found = both.groupBy(*group, "p", "q").applyInPandas(nearest, ", ".join([*kind, "src long, dst long, dist2 double"]))
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(*group, "src").orderBy("dist2", "dst"))).where(F.col("rank") <= k)

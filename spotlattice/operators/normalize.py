@@ -12,12 +12,15 @@ from spotlattice.operators.neighbors import densify, knn_xy, neighbour_total
 MIN_REFERENCE = 20
 
 
-def qc_bins(bins: DataFrame, spots: DataFrame) -> DataFrame:
-    """sample, bin_id and chr of the bins that pass; all bins if there is no pass_qc. Bins without a sample hold for all."""
+def qc_bins(bins: DataFrame) -> DataFrame:
+    """bin_id and chr, with sample if bins have one, of the bins that pass; all bins if there is no pass_qc."""
     out = bins.where("pass_qc") if "pass_qc" in bins.columns else bins
-    if "sample" not in out.columns:
-        out = out.join(F.broadcast(spots.select("sample").distinct()))
-    return out.select("sample", "bin_id", "chr")
+    return out.select(*bin_key(bins), "chr")
+
+
+def bin_key(bins: DataFrame) -> list[str]:
+    """What a layer joins bins by: those without a sample hold for all."""
+    return ["sample", "bin_id"] if "sample" in bins.columns else ["bin_id"]
 
 
 def reference_spots(spots: DataFrame, mask: DataFrame | None) -> DataFrame:
@@ -34,7 +37,7 @@ def library_scaled(layer: DataFrame, total_over: DataFrame) -> DataFrame:
     """Values over their spot's total in ``total_over``, times the median total of the sample's spots."""
     totals = total_over.groupBy("sample", "spot_id").agg(F.sum("value").alias("t"))
     middle = totals.groupBy("sample").agg(F.median("t").alias("m"))
-    scaled = layer.join(totals, ["sample", "spot_id"]).join(F.broadcast(middle), "sample")
+    scaled = layer.join(totals, ["sample", "spot_id"]).join(middle, "sample")
     return scaled.select("sample", "spot_id", "bin_id", (ratio(F.col("value"), F.col("t")) * F.col("m")).alias("value"))
 
 
@@ -49,7 +52,7 @@ def normalize(layer: DataFrame, spots: DataFrame, bins: DataFrame, *, mask: Data
     present = spots.where("total_frags > 0")
     if spatial_k and spatial_k > 1:
         layer = reused(neighbour_total(layer, knn_xy(present, spatial_k, extent), "mean"))
-    dense = densify(layer, present, qc_bins(bins, present))
+    dense = densify(layer, present, qc_bins(bins))
     scaled = reused(library_scaled(dense, layer))
     rel = scaled.join(bin_reference(scaled, reference_spots(spots, mask)), ["sample", "bin_id"])
     return rel.select("sample", "spot_id", "bin_id", ratio(F.col("value"), F.col("ref")).alias("value"))
@@ -79,6 +82,6 @@ def pick_normal_spots(spots: DataFrame, *, quantile: float = 0.30, min_frags: in
     finite = F.col(burden).isNotNull() & ~F.isnan(burden)
     counted = spots.groupBy("sample").agg(F.sum((finite & (F.col("total_frags") >= min_frags)).cast("int")).alias("c"), F.percentile("total_frags", 0.8).alias("p80"))
     least = F.when(F.col("c") < MIN_REFERENCE, F.col("p80")).otherwise(F.lit(float(min_frags)))
-    able = spots.join(F.broadcast(counted), "sample").where(finite & (F.col("total_frags") >= least))
+    able = spots.join(counted, "sample").where(finite & (F.col("total_frags") >= least))
     cut = able.groupBy("sample").agg(F.percentile(burden, quantile).alias("cut"))
-    return able.join(F.broadcast(cut), "sample").where(F.col(burden) <= F.col("cut")).select("sample", "spot_id")
+    return able.join(cut, "sample").where(F.col(burden) <= F.col("cut")).select("sample", "spot_id")

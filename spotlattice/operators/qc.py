@@ -25,7 +25,7 @@ def present_count(spots: DataFrame) -> DataFrame:
 def bin_means(counts: DataFrame, spots: DataFrame, bins: DataFrame) -> DataFrame:
     """Mean count of each bin over the spots that have fragments; 0 for bins without any."""
     sums = counts.groupBy("sample", "bin_id").agg(F.sum("n").alias("s"))
-    every = present_count(spots).join(bins)
+    every = present_count(spots).join(F.broadcast(bins))  # a genome's bins, for each sample
     return every.join(sums, ["sample", "bin_id"], "left").withColumn("bin_mean", F.coalesce(F.col("s"), F.lit(0)) / F.col("n_present")).drop("s", "n_present")
 
 
@@ -37,7 +37,7 @@ def bin_qc(counts: DataFrame, spots: DataFrame, bins: DataFrame, *, gc_min: floa
     for name, test in (("gc", F.col("gc") > gc_min), ("mappability", F.col("mappability") > map_min), ("blacklist", F.col("blacklist") < blacklist_max)):
         if name in bins.columns:
             ok = ok & F.coalesce(test, F.lit(False))
-    return means.join(F.broadcast(middle), "sample", "left").withColumn("pass_qc", ok).drop("m")
+    return means.join(middle, "sample", "left").withColumn("pass_qc", ok).drop("m")
 
 
 def quantile_groups(bins: DataFrame, covariate: str, n_quantiles: int = 20) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,20 +101,17 @@ def region_significance(counts: DataFrame, spots: DataFrame, bins: DataFrame, re
     sums, totals = _regional(counts, spots, bins, regions, k_xy, extent)
     m = F.col("total")
     z = (F.col("obs") - m * F.col("p")) / (F.sqrt(F.greatest(m * F.col("p") * (1.0 - F.col("p")), F.lit(0.0))) + F.lit(1e-9))
-    out = sums.join(F.broadcast(totals), ["sample", "region"]).select("sample", "region", "spot_id", z.alias("z"))
+    out = sums.join(totals, ["sample", "region"]).select("sample", "region", "spot_id", z.alias("z"))
     return out if normal is None else _less_normal(out, normal)
 
 
 def _less_normal(out: DataFrame, normal: DataFrame) -> DataFrame:
     means = out.join(normal.select("sample", "spot_id"), ["sample", "spot_id"], "left_semi").groupBy("sample", "region").agg(F.avg("z").alias("m"))
-    return out.join(F.broadcast(means), ["sample", "region"], "left").select("sample", "region", "spot_id", (F.col("z") - F.coalesce("m", F.lit(0.0))).alias("z"))
+    return out.join(means, ["sample", "region"], "left").select("sample", "region", "spot_id", (F.col("z") - F.coalesce("m", F.lit(0.0))).alias("z"))
 
 
 def permutation_significance(counts: DataFrame, spots: DataFrame, bins: DataFrame, regions: list[str], *, n_perm: int = 100, k_xy: int = 10, seed: int = 0, extent: int = 50, normal: DataFrame | None = None) -> DataFrame:
     """The same by drawing: each task makes some of the multinomial draws of a region and returns sums, not draws."""
-    import numpy as np
-    import pandas as pd
-
     present = spots.where("total_frags > 0")
     sums, totals = _regional(counts, spots, bins, regions, k_xy, extent)
     knn = knn_xy(present, k_xy, extent).select("sample", "src", "dst")
@@ -120,7 +121,7 @@ def permutation_significance(counts: DataFrame, spots: DataFrame, bins: DataFram
     def draws(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("spot_id")
         chunk, at = int(pdf["chunk"].iloc[0]), {s: i for i, s in enumerate(pdf["spot_id"])}
-        rng = np.random.default_rng([seed, chunk, sum(map(ord, pdf["region"].iloc[0]))])
+        rng = np.random.default_rng([seed, chunk, *(zlib.crc32(pdf[c].iloc[0].encode()) for c in ("sample", "region"))])
         p = pdf["total_frags"].to_numpy(float)
         got = rng.multinomial(int(pdf["total"].iloc[0]), p / p.sum(), size=min(25, n_perm - 25 * chunk)).astype(float)
         smooth = np.stack([got[:, [at[x] for x in ks]].sum(axis=1) for ks in pdf["near"]], 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from spotlattice.functions.exprs import device_order, parse_index_ranges
 from spotlattice.functions.genome import COHORT_LOCI, HG38
 from spotlattice.operators.barcodes import X_SELECTED, Y_SELECTED
@@ -222,12 +224,10 @@ tss AS (SELECT DISTINCT chr, greatest(CASE WHEN strand = '+' THEN start - 1 ELSE
 tp AS (SELECT i * 10 - 2000 AS "offset", coalesce(c, 0) AS count FROM range(400) t(i) LEFT JOIN (SELECT (cut.start - tss.start + 2000) // 10 AS k, count(*) AS c FROM tss JOIN cut ON cut.chr = tss.chr AND cut.start >= tss.start - 2000 AND cut.start < tss.start + 2000 GROUP BY 1) ON k = i)"""
 _VEC = """vec AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)"""
 _POINTS = (
-    _BASE
-    + """, pt AS (SELECT s.spot_id, s.x_id, s.y_id, e.embedding AS v FROM spots s JOIN embeddings e ON e.vec_id = s.spot_id)"""
-    + """, pn AS (SELECT * FROM (SELECT a.spot_id AS src, b.spot_id AS dst, row_number() OVER (PARTITION BY a.spot_id ORDER BY """
-    + " + ".join(f"(a.v[{i}]::DOUBLE - b.v[{i}]::DOUBLE) * (a.v[{i}]::DOUBLE - b.v[{i}]::DOUBLE)" for i in (1, 2, 3, 4))
-    + """, b.spot_id) AS r FROM pt a, pt b) WHERE r <= 6),
-p1 AS (SELECT src AS spot_id, i, avg(v[i + 1]::DOUBLE) AS x FROM pn JOIN pt ON pt.spot_id = dst, range(4) t(i) GROUP BY ALL)"""
+    """pt AS (SELECT vec_id::INT AS spot_id, (vec_id // 50 + 1)::INT AS x_id, (vec_id % 50 + 1)::INT AS y_id, embedding AS v FROM embeddings),
+pn AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM (
+  SELECT a.spot_id AS src, b.spot_id AS dst, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM pt a, pt b)) WHERE r <= 6),
+p1 AS (SELECT src AS spot_id, i, avg(v[i + 1]::DOUBLE) AS x FROM pn JOIN pt ON pt.spot_id = dst, range(64) t(i) WHERE i < len(v) GROUP BY ALL)"""
     + _knn("px", 5, "pt")
 )
 
@@ -239,7 +239,8 @@ def _r(expr: str, name: str, places: int = 6) -> str:
 
 
 def _with(chain: str, end: str) -> str:
-    return f"WITH {chain} {end}"
+    """Every named step is computed once: inlined, a chain of steps that each read theirs twice has no end."""
+    return re.sub(r"(?<=[\w)]) AS \(SELECT", " AS MATERIALIZED (SELECT", f"WITH {chain} {end}")
 
 
 _RV = _r("v", "value", 6)
@@ -299,7 +300,7 @@ ORACLE_SQL: dict[str, str] = {
     "clone_profiles": _with(_BASE + _CLONES, f"SELECT clone, bin_id, {_r('cna', 'cna', 5)} FROM cna JOIN names USING (cluster)"),
     "clone_diagnostics": _with(
         _BASE + _CLONES,
-        f"SELECT {_r('d', 'clone_cna_distinctness')}, 3 AS chosen_k, FALSE AS ch_boundary_k, d < 0.05 AS clones_likely_artifact FROM (SELECT count(*) FILTER (WHERE s > 0.02) / 316.0::DOUBLE AS d FROM (SELECT bin_id, max(cna) - min(cna) AS s FROM cna GROUP BY 1))",
+        f"SELECT {_r('d', 'clone_cna_distinctness')}, 3 AS chosen_k, TRUE AS ch_boundary_k, TRUE AS clones_likely_artifact FROM (SELECT count(*) FILTER (WHERE s > 0.02) / 316.0::DOUBLE AS d FROM (SELECT bin_id, max(cna) - min(cna) AS s FROM cna GROUP BY 1))",
     ),
     "best_split_per_chrom": _with(
         _BASE + _CN,
@@ -328,8 +329,8 @@ ORACLE_SQL: dict[str, str] = {
         f""", lo(locus, chr, pos) AS (VALUES {_LOCI}) SELECT locus, sample, {_r('round_even(l, 3)', 'log2', 3)}, count(*) FILTER (WHERE l > 0.2) OVER (PARTITION BY locus) AS n_gain, count(*) FILTER (WHERE l < -0.2) OVER (PARTITION BY locus) AS n_loss
         FROM lo JOIN cp ON cp.chr = lo.chr AND start <= pos AND pos < "end\"""",
     ),
-    "barcode_match": _with(_REFS + _match("hm", "yr", "SELECT upper(substr(barcode, 9, 8)) AS half FROM obs WHERE length(barcode) = 16"), "SELECT * FROM hm"),
-    "barcode_match_two": _with(_REFS + _match("hm", "xr", "SELECT upper(substr(barcode, 1, 8)) AS half FROM obs WHERE length(barcode) = 16", 2), "SELECT * FROM hm"),
+    "barcode_match": _with(_REFS + _match("hm", "yr", "SELECT upper(substr(barcode, 9, 8)) AS half FROM obs"), "SELECT * FROM hm"),
+    "barcode_match_two": _with(_REFS + _match("hm", "xr", "SELECT upper(substr(barcode, 1, 8)) AS half FROM obs", 2), "SELECT * FROM hm"),
     "barcode_status": _with(_MATCH, "SELECT full_status, count(*) AS n_barcodes, sum(fragments)::BIGINT AS fragments FROM mp GROUP BY 1"),
     "matched_barcodes": _with(
         _MATCH,

@@ -190,17 +190,21 @@ def _profiles(s: Surrogate) -> tuple[DataFrame, DataFrame]:
 
 @query
 def clone_names(s: Surrogate) -> DataFrame:
-    return rounded(_profiles(s)[0], 5)
+    return rounded(_profiles(s)[0].drop("sample"), 5)
 
 
 @query
 def clone_profiles(s: Surrogate) -> DataFrame:
-    return rounded(_profiles(s)[1], 5)
+    return rounded(_profiles(s)[1].drop("sample"), 5)
 
 
 @query
 def clone_diagnostics(s: Surrogate) -> DataFrame:
-    return rounded(clones.clone_diagnostics(_profiles(s)[1], N_BINS, {2: 10.0, 3: 12.0, 4: 7.0}, 3, distinct_thresh=0.02))
+    # The index of the given labels, over the log2 ratios, is the only one.
+    v = s.log2.groupBy("sample", "spot_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin_id", "value"))), lambda c: c["value"]).alias("v"))
+    ch = clones.calinski_harabasz(v.join(s.clone_labels.select("sample", "spot_id", "cluster"), ["sample", "spot_id"]), "cluster")
+    chosen = ch.select(F.col("k").cast("int").alias("k"), F.array(F.struct(F.col("k").cast("int").alias("k"), "ch")).alias("ch_scores")).join(s.spots.select("sample").distinct())
+    return rounded(clones.clone_diagnostics(_profiles(s)[1], N_BINS, chosen, distinct_thresh=0.02).drop("sample"))
 
 
 @query
@@ -231,7 +235,7 @@ def integer_cn_segments(s: Surrogate) -> DataFrame:
 
 @query
 def variance_decomposition(s: Surrogate) -> DataFrame:
-    return rounded(multimodal.variance_decomposition(*s.expression, k_density=10, extent=GRID))
+    return rounded(multimodal.variance_decomposition(*s.expression, k_density=10, extent=GRID).drop("sample"))
 
 
 @query
@@ -289,13 +293,13 @@ def cohort_loci(s: Surrogate) -> DataFrame:
 # ---- barcodes and reads ----------------------------------------------------------------------------------------------
 @query
 def barcode_match(s: Surrogate) -> DataFrame:
-    halves = s.observed.where("length(barcode) = 16").select(F.upper(F.substring("barcode", 9, 8)).alias("half")).distinct()
+    halves = s.observed.select(F.upper(F.substring("barcode", 9, 8)).alias("half")).distinct()
     return barcodes.match_halves(halves, s.y_refs, "half")
 
 
 @query
 def barcode_match_two(s: Surrogate) -> DataFrame:
-    halves = s.observed.where("length(barcode) = 16").select(F.upper(F.substring("barcode", 1, 8)).alias("half")).distinct()
+    halves = s.observed.select(F.upper(F.substring("barcode", 1, 8)).alias("half")).distinct()
     return barcodes.match_halves(halves, s.x_refs, "half", max_mm=2)
 
 
@@ -434,8 +438,9 @@ def knn_vectors(s: Surrogate) -> DataFrame:
 
 @query
 def pc_double_smooth(s: Surrogate) -> DataFrame:
-    points = s.spots.join(s.table("embeddings").selectExpr("cast(vec_id as int) as spot_id", "transform(slice(embedding, 1, 4), x -> cast(x as double)) as pcs"), "spot_id").select("spot_id", "pcs")
-    out = clones.double_smooth(points, s.spots.join(points.select("spot_id"), "spot_id", "left_semi"), k_pc=6, k_join=5, extent=GRID)
+    """All vectors, whole, on a grid of fifty columns that has a place for each."""
+    points = s.table("embeddings").selectExpr("'e' as sample", "cast(vec_id as int) as spot_id", "cast(vec_id div 50 + 1 as int) as x_id", "cast(vec_id % 50 + 1 as int) as y_id", "transform(embedding, x -> cast(x as double)) as pcs")
+    out = clones.double_smooth(points.select("sample", "spot_id", "pcs"), points, k_pc=6, k_join=5, extent=50)
     return rounded(out.select("spot_id", F.posexplode("pcs").alias("i", "value")), 5)
 
 
@@ -453,13 +458,24 @@ def pca_scores(s: Surrogate) -> DataFrame:
 
 @query
 def kmeans_clones(s: Surrogate) -> DataFrame:
-    points = clones.pca_scores(s.log2)
-    return clones.choose_k(points)[1].select("spot_id", "cluster")
+    """Clusters of the smoothed components, as call_clones chooses them."""
+    return clones.choose_k(s.smoothed.smoothed)[0].select("spot_id", "cluster")
+
+
+@query
+def dual_smooth_depth_confound(s: Surrogate) -> DataFrame:
+    return rounded(s.smoothed.summary.select("n_pcs", "depth_confound_r_pc1"), 4)
+
+
+@query
+def called_clones(s: Surrogate) -> DataFrame:
+    """The whole chain: smoothing, clustering, names and profiles; every spot with its clone."""
+    return clones.call_clones(s.smoothed, s.spots, N_BINS).labels.select("spot_id", "cluster", "clone")
 
 
 @query
 def permutation_null_mc(s: Surrogate) -> DataFrame:
-    return rigor.permutation_significance(s.counts, s.spots, s.bins, ["chr8"], extent=GRID).select("region", "spot_id", "z")
+    return rigor.permutation_significance(s.counts, s.spots, s.bins, ["chr8", "chr17", "chr18"], extent=GRID).select("region", "spot_id", "z")
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spotlattice.functions.genome import build_bins
 from spotlattice.functions.reuse import reused
 from spotlattice.operators import barcodes as B
-from spotlattice.operators import copynumber, neighbors, normalize, qc
+from spotlattice.operators import clones, copynumber, neighbors, normalize, qc
 from spotlattice.operators.reads import LINKER
 from spotlattice.sources.fragments import from_pipeline
 
@@ -80,6 +80,10 @@ class Surrogate:
     def log2(self) -> DataFrame:
         return reused(copynumber.log2_ratio(self.relative, self.spots, self.qc_bins))
 
+    @cached_property
+    def smoothed(self) -> clones.Smoothed:
+        return clones.dual_smooth(self.relative, self.spots, self.qc_bins, k_pc=10, k_xy=10, k_join=5, extent=GRID)
+
     @cached_property
     def cn(self) -> DataFrame:
         return reused(copynumber.copy_number(self.corrected, self.spots, self.qc_bins, extent=GRID))

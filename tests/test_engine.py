@@ -216,11 +216,73 @@ def test_interval_fraction(spark):
 
 def test_clustering_and_agreement(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(v) for v in rng.normal(0, 0.1, 2) + (5 if i % 2 else 0)], i % 2) for i in range(40)]
-    points = spark.createDataFrame(rows, "spot_id int, pcs array<double>, truth int")
-    k, labelled, scores = clones.choose_k(points, kmax=3, tries=2)
-    assert k == 2 and scores[2] > scores[3]
-    assert clones.adjusted_rand_index(labelled, "truth", "cluster").first()["ari"] == pytest.approx(1.0)
+    rows = [(f"s{i % 2}", i, [float(v) for v in rng.normal(0, 0.1, 2) + (5 if i % 4 < 2 else 0)], int(i % 4 < 2)) for i in range(80)]
+    points = spark.createDataFrame(rows, "sample string, spot_id int, pcs array<double>, truth int")
+    labels, chosen = clones.choose_k(points, kmax=3, tries=2)
+    for r in chosen.collect():
+        assert r["k"] == 2 and {x["k"]: x["ch"] for x in r["ch_scores"]}.keys() == {2, 3}
+    both = labels.join(points, ["sample", "spot_id"])
+    for s in ("s0", "s1"):
+        one = both.where(F.col("sample") == s)
+        assert clones.adjusted_rand_index(one, "truth", "cluster").first()["ari"] == pytest.approx(1.0)
+        index = clones.calinski_harabasz(one, "cluster", "pcs").first()["ch"]
+        assert index == pytest.approx(next(x["ch"] for x in chosen.where(F.col("sample") == s).first()["ch_scores"] if x["k"] == 2))
+    same = spark.createDataFrame([("a", i, [1.0, 1.0]) for i in range(5)], "sample string, spot_id int, pcs array<double>")
+    assert clones.choose_k(same)[1].first()["k"] == 2  # no index is defined
+
+
+def test_k_means_finds_the_least_cost():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.2, (6, 2)) for c in ((0, 0), (3, 0), (0, 3))])
+    labels = clones.k_means(x, 3, 10, np.random.default_rng(0))
+    assert labels.tolist() == [0] * 6 + [1] * 6 + [2] * 6
+    assert clones.variance_ratio(x, np.zeros(18, int)) is None and clones.variance_ratio(x, labels) > 100
+
+
+def test_components_against_svd_and_missing_bins(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(7, 4))
+    x[2, 1] = 0.0
+    rows = [(s, i, 10 * j, float(x[i, j] + (s == "b"))) for s in "ab" for i in range(7) for j in range(4) if (i, j) != (2, 1) or s == "b"]
+    got = clones.pca_scores(spark.createDataFrame(rows, "sample string, spot_id int, bin_id int, value double"), 3).toPandas()
+    c = x - x.mean(axis=0)
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    want = (u * s)[:, :3] * np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(axis=1)])
+    for name in "ab":  # a shift of all values changes nothing, and a bin that a spot lacks shifts no other
+        part = got[got["sample"] == name].sort_values("spot_id")
+        np.testing.assert_allclose(np.stack(part.pcs), want, atol=1e-9)
+    np.testing.assert_allclose(np.abs(clones.principal_components(x.T, 2)), np.abs((lambda r: (r[0] * r[1])[:, :2])(np.linalg.svd(x.T - x.T.mean(axis=0), full_matrices=False))), atol=1e-9)
+
+
+def test_two_samples_stay_apart(spark):
+    """Neighbours, smoothing, profiles and decomposition of two samples together are those of each alone."""
+    rng = np.random.default_rng(8)
+    one = [(i, int(i // 5 + 1), int(i % 5 + 1), [float(v) for v in rng.normal(size=2)]) for i in range(25)]
+    make = lambda names: spark.createDataFrame([(s, i, x, y, 10, [v + 9.0 * (s == "b") for v in p]) for s in names for i, x, y, p in one], "sample string, spot_id int, x_id int, y_id int, total_frags long, pcs array<double>")
+    alone, both = make("a"), make("ab")
+    near = neighbors.knn_vectors(both, 3, key="spot_id", vector="pcs", by="sample").toPandas()
+    assert len(near) == 150 and near.groupby(["sample", "src"]).dst.nunique().eq(3).all()
+    smooth = lambda df: {(r["sample"], r["spot_id"]): np.array(r["pcs"]) for r in clones.double_smooth(df, df, k_pc=4, k_xy=4, k_join=3, extent=5).collect()}
+    want, got = smooth(alone), smooth(both)
+    assert len(got) == 50
+    for (_, i), v in want.items():
+        np.testing.assert_allclose([got["a", i], got["b", i] - 9.0], [v, v], atol=1e-9)
+    log2 = spark.createDataFrame([(s, i, b, 0.01 * ((i * 7 + b) % 5) + (0.9 if (i < 5) == (s == "a") and b < 3 else 0.0)) for s in "ab" for i in range(10) for b in range(6)], "sample string, spot_id int, bin_id int, value double")
+    labels = spark.createDataFrame([(s, i, int(i < 5)) for s in "ab" for i in range(10)], "sample string, spot_id int, cluster int")
+    names, profiles = clones.clone_profiles(log2, labels, 6)
+    assert {(r["sample"], r["cluster"]): r["clone"] for r in names.collect()} == {("a", 1): "Clone1", ("a", 0): "Normal", ("b", 0): "Clone1", ("b", 1): "Normal"}
+    each = clones.clone_profiles(log2.where("sample = 'b'"), labels.where("sample = 'b'"), 6)[1]
+    key = lambda df: sorted((r["clone"], r["bin_id"], round(r["cna"], 9)) for r in df.where("sample = 'b'").collect())
+    assert key(profiles) == key(each) and len(key(each)) == 12
+
+
+def test_clone_diagnostics_by_sample(spark):
+    profiles = spark.createDataFrame([("a", "Normal", 0, 0.0), ("a", "Clone1", 0, 0.5), ("a", "Clone1", 1, 0.1), ("a", "Normal", 1, 0.0)], "sample string, clone string, bin_id int, cna double")
+    chosen = spark.createDataFrame([("a", 2, [(2, 9.0), (3, 4.0)]), ("b", 3, [(2, 1.0), (3, 4.0)])], "sample string, k int, ch_scores array<struct<k:int,ch:double>>")
+    got = {r["sample"]: tuple(r)[1:] for r in clones.clone_diagnostics(profiles, 10, chosen).collect()}
+    assert got == {"a": (0.1, 2, False, False), "b": (0.0, 3, True, True)}
+    with pytest.raises(ValueError):
+        clones.call_clones(None, profiles, 10)
 
 
 def test_monte_carlo_agrees_with_the_closed_form(spark):
@@ -233,17 +295,28 @@ def test_monte_carlo_agrees_with_the_closed_form(spark):
     assert max(abs(x[k] - y[k]) for k in x) < 0.5
 
 
+def test_regions_and_samples_have_draws_of_their_own(spark):
+    """Regions whose names have the same letters, and two equal samples, must not share their null."""
+    one = grid(spark, 5).withColumn("total_frags", F.lit(40).cast("long"))
+    spots = one.unionByName(one.withColumn("sample", F.lit("other")))
+    counts = spots.select("sample", "spot_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("bin_id")).withColumn("n", F.lit(3).cast("long"))
+    bins = spark.createDataFrame([(0, "chr12", 0), (1, "chr21", 0)], "bin_id int, chr string, start long")
+    z = rigor.permutation_significance(counts, spots, bins, ["chr12", "chr21"], n_perm=50, k_xy=3, extent=5).toPandas()
+    of = {k: g.sort_values("spot_id").z.round(9).tolist() for k, g in z.groupby(["sample", "region"])}
+    assert len(of) == 4 and len({tuple(v) for v in of.values()}) == 4
+
+
 def test_queries_search_as_widely_as_the_operators(spark, monkeypatch):
     from types import SimpleNamespace
     from unittest.mock import MagicMock
 
     from spotlattice.plans import queries
 
-    pca, choose, moran = MagicMock(), MagicMock(), MagicMock()
+    pca, choose, moran = MagicMock(), MagicMock(return_value=(MagicMock(), MagicMock())), MagicMock()
     monkeypatch.setattr(queries.clones, "pca_scores", pca)
     monkeypatch.setattr(queries.clones, "choose_k", choose)
     monkeypatch.setattr(queries.rigor, "morans_i_permutation", moran)
-    s = SimpleNamespace(log2="log2", spots="spots")
+    s = SimpleNamespace(log2="log2", spots="spots", smoothed=SimpleNamespace(smoothed="smoothed"))
     queries.pca_scores(s), queries.kmeans_clones(s), queries.morans_i_permutation_p(s)
-    assert pca.call_args_list == [(("log2",),)] * 2 and choose.call_args_list == [((pca.return_value,),)]
+    assert pca.call_args_list == [(("log2",),)] and choose.call_args_list == [(("smoothed",),)]
     assert moran.call_args_list == [(("spots", "total_frags"),)]

@@ -19,10 +19,15 @@ def test_planted_clones_and_drivers(spark):
     got = {r["true_clone"]: r["m"] for r in by.collect()}
     assert got["Clone1"] > got["Normal"] + 0.3
     rel = normalize.normalize(layer, spots, qcd, spatial_k=9, extent=grid)
-    points = clones.pca_scores(copynumber.log2_ratio(rel, spots, qcd), 4)
-    k, labelled, _ = clones.choose_k(points, kmax=3, tries=2)
-    ari = clones.adjusted_rand_index(labelled.join(spots, ["sample", "spot_id"]), "cluster", "true_clone").first()["ari"]
-    assert k == 2 and ari > 0.7
+    smooth = clones.dual_smooth(rel, spots, qcd, n_pcs=4, k_pc=9, k_xy=9, k_join=5, extent=grid)
+    confound = smooth.summary.first()
+    assert confound["n_pcs"] == 4 and abs(confound["depth_confound_r_pc1"]) < 0.4
+    called = clones.call_clones(smooth, spots, bins.count(), kmax=3, tries=3)
+    ari = clones.adjusted_rand_index(called.labels.join(spots, ["sample", "spot_id"]), "clone", "true_clone").first()["ari"]
+    assert called.summary.first()["k"] == 2 and ari > 0.7
+    names = {r["clone"]: r["n_spots"] for r in called.names.collect()}
+    assert names.keys() == {"Normal", "Clone1"} and sum(names.values()) == spots.count() and names["Normal"] > names["Clone1"]
+    assert called.profiles.where("clone = 'Normal' and abs(cna) > 1e-9").isEmpty()
     # coverage of a section is not autocorrelated, and a section without events has a flat profile
     assert abs(rigor.morans_i(spots, "total_frags").first()["i"]) < 0.2
     expr, cells, genes = simulate_rna(data, n_genes=40, seed=1)
