@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotlattice.llm import iblt, jaccard, langid, mixing, packing, pii, quality, sharding, tsmedia, warc
-from spotlattice.llm.util import fresh_path, id_remainder, table
+from spotlattice.llm.util import fresh_path, id_remainder, n_words, stored, table
+
+#: The key of the surrogates in the queries and the pipeline: not a secret. Whoever replaces real data gives a key of their own.
+SURROGATE_KEY = "public key of the synthetic tables"
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text with its personal data and secrets replaced, and the number of mentions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, count="n_mentions").select("doc_id", "text", "n_mentions")
+    return pii.replace(docs, secret=SURROGATE_KEY, count="n_mentions").select("doc_id", "text", "n_mentions")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,36 +68,44 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a mix by weights 5, 2, 1 takes of each document, through the splitting tree over 16 shards."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = mixing.mix(docs).drop("text")
-    out = rows.groupBy("mix_source", "mix_rank", "doc_id").agg(
-        F.first("mix_size").alias("size"),
-        F.first("mix_source_size").alias("source_size"),
-        F.first("mix_target").alias("target"),
-        F.sum("mix_words").alias("taken"),
-    )
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
-
-
-OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    """Words that a mix by weights 5, 2, 1 takes of each document, and in which of the splitting tree's 16 shards."""
+    text = F.col("text")
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(text).alias("words"), F.xxhash64(text).alias("text")), "words")
+    return mixing.taken_words(mixing.mix(docs, size="words")).withColumn("target", F.round("target", 6))
+
+
+def _tree_sql(shards: int = 16) -> str:
+    """The levels t1, t2, ... of the splitting tree over the blocks t0(k, block, lo, hi)."""
+    step = """t{n} AS (SELECT k, block, CASE WHEN r <= (n * (mid - lo)) // (hi - lo) THEN lo ELSE mid END AS lo, CASE WHEN r <= (n * (mid - lo)) // (hi - lo) THEN mid ELSE hi END AS hi FROM (
+  SELECT *, (lo + hi) // 2 AS mid, count(*) OVER (PARTITION BY lo, hi) AS n, row_number() OVER (PARTITION BY lo, hi ORDER BY md5('7:{level}:' || k || ':' || block), k, block) AS r FROM t{level}))"""
+    return ",\n".join(step.format(n=i + 1, level=i) for i in range((shards - 1).bit_length()))
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   md5('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
+s AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
+w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY k) - 1) % 3 + 1)::INT] AS w FROM s),
 f AS (SELECT *, cap::DOUBLE / w AS fill FROM w),
 p AS (SELECT *, sum(source_size) OVER () AS t, sum(w) OVER () AS tw,
              coalesce(sum(cap) OVER o, 0) AS cb, coalesce(sum(w) OVER o, 0) AS wb FROM f
-      WINDOW o AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      WINDOW o AS (ORDER BY fill, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, fill * (tw - wb)::DOUBLE <= (t - cb)::DOUBLE AS capped FROM p),
 r AS (SELECT *, t - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS rest,
              tw - sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS rest_w FROM c),
-g AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE rest::DOUBLE * w / nullif(rest_w, 0) END AS target FROM r),
-q AS (SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS goal FROM g),
-x AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
-SELECT x.doc_id, x.size, q.source_size, round(q.target, 6) AS target,
-       ((q.goal // greatest(q.source_size, 1)) * x.size + greatest(0, least(x.size, q.goal % greatest(q.source_size, 1) - x.start)))::BIGINT AS taken
-FROM x JOIN q ON x.source IS NOT DISTINCT FROM q.source
+g AS (SELECT k, source_size, t, CASE WHEN capped THEN cap::DOUBLE ELSE rest::DOUBLE * w / nullif(rest_w, 0) END AS target FROM r),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS goal, greatest(1, ceil(t::DOUBLE / 512)::BIGINT) AS bw FROM g),
+t0 AS (SELECT k, unnest(range(goal // bw + 1))::BIGINT AS block, 0 AS lo, 16 AS hi FROM q WHERE goal > 0),
+{_tree_sql()},
+quota AS (SELECT k, lo AS shard, count(*) AS n FROM t4 GROUP BY ALL),
+slots AS (SELECT k, shard, row_number() OVER (PARTITION BY k ORDER BY shard) AS r FROM quota, unnest(range(n)) AS j(i)),
+dealt AS (SELECT b.k, b.block, shard FROM (SELECT k, block, row_number() OVER (PARTITION BY k ORDER BY md5('7:deal:' || k || ':' || block), block) AS r FROM t0) b JOIN slots USING (k, r)),
+x AS (SELECT d.*, row_number() OVER o AS rank, coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d WINDOW o AS (PARTITION BY k ORDER BY h, doc_id)),
+y AS (SELECT x.doc_id, x.k, x.rank, x.size, x.start, q.source_size, q.target, q.goal, q.bw, q.goal // greatest(q.source_size, 1) AS whole, q.goal % greatest(q.source_size, 1) AS rem FROM x JOIN q USING (k)),
+z AS (SELECT k, rank, least((pass * source_size + start) // bw, goal // bw) AS block, CASE WHEN pass < whole THEN size ELSE greatest(0, least(size, rem - start)) END AS words FROM y, unnest(range(whole + 1)) AS p(pass)),
+v AS (SELECT k, rank, shard, sum(words)::BIGINT AS words FROM z JOIN dealt USING (k, block) WHERE words > 0 GROUP BY ALL),
+u AS (SELECT k, rank, sum(words)::BIGINT AS taken, string_agg(shard || ':' || words, ',' ORDER BY shard) AS by_shard FROM v GROUP BY ALL)
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken, coalesce(by_shard, '') AS by_shard FROM y LEFT JOIN u USING (k, rank)
 """
 
 
