@@ -16,24 +16,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlattice.llm.order import group_key, n_buckets, prefix_sums
+from spotlattice.llm.util import sized_broadcast, stored
 
 
 def interleave(docs: DataFrame, *, shards: int, seed: int = 11, source: str = "source", key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``keep``, size, text_crc32, shard and slot of every row of docs; the text itself is never shuffled."""
-    rows = docs.count()
     octets = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    df = docs.select(
+    slim = docs.select(
         *dict.fromkeys([key, *keep]),
         group_key(F.col(source)).alias("__src"),
         (F.octet_length(octets) + F.lit(16)).cast("long").alias("size"),
         F.crc32(octets).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("__h"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")).alias("__h"),
     )
+    df = stored(slim, "slim")  # so that texts are read once
+    counts = stored(df.groupBy("__src").agg(F.count("*").alias("__n")), "sources")
+    rows, n_sources = df.count(), counts.count()
     n = n_buckets(rows)
-    spread = F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(-(1 << 63))), 64 - max(1, n.bit_length() - 1)) if n > 1 else F.lit(0)
+    spread = F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32))
     df = prefix_sums(df, "__src", spread, ["__h", key, "text_crc32"], {"__rank": F.lit(1).cast("long")})
-    counts = df.groupBy("__src").agg(F.count("*").alias("__n"))
-    df = df.join(counts, "__src").withColumn("__f", (F.lit(2) * F.col("__rank") + F.lit(1)).cast("double") / (F.lit(2) * F.col("__n")))
+    df = df.join(sized_broadcast(counts, n_sources), "__src").withColumn("__f", (F.lit(2) * F.col("__rank") + F.lit(1)).cast("double") / (F.lit(2) * F.col("__n")))
     df = prefix_sums(df, None, F.floor(F.col("__f") * F.lit(n)), ["__f", "__src", "__h", key, "text_crc32"], {"__pos": F.lit(1).cast("long")})
     shard = F.expr(f"(__pos * {shards}L) div {max(1, rows)}L")
     first = F.expr(f"((shard * {max(1, rows)}L) + {shards - 1}L) div {shards}L")
