@@ -7,20 +7,29 @@ Dealing out. The sizes fall into bands. Linked sets of a band differ in at most
 into K = d + 1 + E parts by a hash, at least E + 1 parts hold the same elements in both, and with few empty parts one of
 these is not empty: a key of (band, part, its elements) that both sets have. Sets with more than E empty parts have keys
 for empty parts too, so no link is lost. Keys of only one class lead nowhere; the others have their smallest class as
-pivot, and all classes that have the same pivot form a cell. Linked classes always meet in a cell. Members stay in a cell
-only if some other member's parts are the same in parts - d places at least (a byte of hash for each part).
+pivot, and all classes that have the same pivot form a cell. Linked classes always meet in a cell.
+
+Frequent keys. A set with e empty parts shares K - d - e keys of parts that are not empty with every partner, at least. So
+it may give up the K - d - e - 1 of its keys that come last in an order that is the same for all sets: of the keys that two
+linked sets share, both keep the one that comes first. The order is by the number of classes, so that what goes are the
+keys of passages that very many texts share, and their cells with them.
 
 Search. A cell is cut into chunks of bounded size, each with the pivot. In a chunk an inverted index of its sets is
-searched for each set: its lists are divided by length, the short ones are heap-merged for the sets that occur
-T - L times at least, these are looked up in the L long lists by binary search, and those that reach T are linked.
-A chunk returns its components, not its pairs, and is done when all its sets are in one. Cells of several chunks whose
-members are still in several components get a second search, of all members outside the cell's largest component
-against every chunk, in blocks. So a group of near copies costs its size, not its square.
+searched for sets: the lists are divided by length, the short ones are heap-merged for the sets that occur T - L times at
+least, these are looked up in the L long lists by binary search, and those that reach T are linked. The pivot is searched
+first, then every set outside the largest component so far, which is enough to find all components. A chunk returns its
+components, not its pairs. Cells of several chunks whose members are still in several components get a second search, of
+all members outside the cell's largest component against every chunk, in blocks. So a group of near copies costs its
+size, not its square.
+
+Names. A class is known by a 64-bit hash of its set; sets that share one but differ in a second hash are found by an
+aggregate over all classes and known by the second, so that only equal 128 bits are taken for equal sets. Keys of 56 bits
+that coincide by chance only put classes into a cell.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; texts with fewer words than a shingle
 are one shingle; rows with the same id count as one document; rows with a null id get no component (null); an empty
-table gives an empty result. Different sets with the same 64-bit hash would count as one (about 1 in 10**8 for 10**6
-documents).
+table gives an empty result. Ids are whole numbers (or strings of digits; other strings count as null). Shingles are
+hashes of 64 bits: two that coincide by chance count as one.
 """
 
 from __future__ import annotations
@@ -40,11 +49,13 @@ from pyspark.sql import functions as F
 
 from spotlattice.llm.components import components
 from spotlattice.llm.shingles import mix, set_id, shingle_sets
-from spotlattice.llm.util import stored
+from spotlattice.llm.util import sized_broadcast, stored
 
 _U = np.uint64
 #: Sets and elements in a chunk of a cell, at most (a single larger set is a chunk of its own).
 CHUNK_SETS, CHUNK_ELEMENTS = 512, 2_000_000
+#: Keys of fewer entries are never given up; their cells are small.
+FREQUENT = 32
 _RATIO = 1.5
 
 
@@ -65,9 +76,12 @@ def bands(num: int, den: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of one set; two linked sets of different elements share one at least."""
-    n, out = len(s), []
+def keys_of(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set, and for each a code: how many keys of its band may be given up, times 4, plus the band modulo 4.
+
+    Two linked sets of different elements share a key, also after each has given up its last ones.
+    """
+    n, out, codes = len(s), [np.zeros(0, _U)], [np.zeros(0, np.uint16)]
     with np.errstate(over="ignore"):
         for k, (lo, hi, parts, empty) in enumerate(bands(num, den)):
             if hi < n or lo > n * den // num:
@@ -78,50 +92,17 @@ def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
             part = mix(s ^ salt) % _U(parts)
             order = np.argsort(part, kind="stable")
             at = part[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            sums = np.add.reduceat(mix(s[order] + salt), first)
-            out.append(mix(sums + mix(at[first] + salt * _U(3))))
-            if parts - len(first) > empty:
-                gone = np.setdiff1d(np.arange(parts, dtype=_U), at[first])
-                out.append(mix(mix(gone + salt * _U(5)) + _U(1)))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-def profiles_of(s: np.ndarray, num: int, den: int) -> list[tuple[int, bytes]]:
-    """(band, a byte for each part, a hash of its elements) of one set. Two sets that link have a band in which
-    parts - d bytes at least are equal, d being what ``least_equal`` takes off."""
-    n, out = len(s), []
-    with np.errstate(over="ignore"):
-        for k, (lo, hi, parts, _) in enumerate(bands(num, den)):
-            if hi < n or lo > n * den // num or parts == 1:
-                continue
-            salt = mix(np.array([k + 1], _U) * _U(0xC2B2AE3D27D4EB4F))
-            part = mix(s ^ salt) % _U(parts)
-            order = np.argsort(part, kind="stable")
-            at = part[order]
             first = _runs(at)
-            profile = np.zeros(parts, np.uint8)
-            profile[at[first].astype(np.int64)] = mix(np.add.reduceat(mix(s[order] + salt), first)) >> _U(56)
-            out.append((k, profile.tobytes()))
-    return out
-
-
-def least_equal(band: int, num: int, den: int) -> int:
-    """How many parts are equal at least in two sets that link in a band."""
-    _, hi, parts, _ = bands(num, den)[band]
-    return parts - (den - num) * 2 * hi // (den + num)
-
-
-def alike(profiles: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
-    """Which rows have a partner, between the rows of left and those of right, with as many equal bytes."""
-    out = np.zeros(len(profiles), bool)
-    for i in left:
-        others = right[right != i]
-        hit = others[(profiles[others] == profiles[i]).sum(axis=1) >= least]
-        if len(hit):
-            out[i] = True
-            out[hit] = True
-    return out
+            sums = np.add.reduceat(mix(s[order] + salt), first)
+            found = mix(sums + mix(at[first] + salt * _U(3)))
+            gone = parts - len(first)
+            spare = empty - gone  # K - d - e - 1
+            if gone > empty:
+                missing = np.setdiff1d(np.arange(parts, dtype=_U), at[first])
+                found, spare = np.concatenate([found, mix(mix(missing + salt * _U(5)) + _U(1))]), 0
+            out.append(found)
+            codes.append(np.full(len(found), min(spare, 16383) * 4 + k % 4, np.uint16))
+    return np.concatenate(out).view(np.int64), np.concatenate(codes)
 
 
 class Index:
@@ -140,11 +121,13 @@ class Index:
         self.length = np.diff(self.first)
         self.flat = np.repeat(np.arange(len(first)), self.length) * self.n + self.owner  # sorted: by list, then owner
 
-    def search(self, s: np.ndarray, num: int, den: int, skip) -> Iterator[int]:
-        """The indexed sets that link with s, but for those that ``skip`` tells."""
+    def search(self, s: np.ndarray, num: int, den: int, skip: Callable[[int], bool], own: bool) -> Iterator[int]:
+        """The indexed sets that link with s, but for those that ``skip`` tells. With ``own`` s is one of them itself, and
+        lists in which there is nothing but s are left out."""
         a = len(s)
         least = max(1, -(-num * (a - (-a * num // den)) // (num + den)))  # T for the smallest set that can link
         lists = self._lists(s)
+        lists = lists[self.length[lists] > int(own)]
         if len(lists) < least:
             return
         lists = lists[np.argsort(self.length[lists], kind="stable")]
@@ -174,7 +157,7 @@ class Index:
 
 class Forest:
     def __init__(self, n: int):
-        self.up, self.parts = list(range(n)), n
+        self.up, self.size, self.parts, self.top = list(range(n)), [1] * n, n, 0
 
     def find(self, x: int) -> int:
         while self.up[x] != x:
@@ -183,28 +166,51 @@ class Forest:
         return x
 
     def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
+        a, b = sorted((self.find(a), self.find(b)))
         if a != b:
-            self.up[max(a, b)] = min(a, b)
+            self.up[b] = a
+            self.size[a] += self.size[b]
             self.parts -= 1
+            top = self.find(self.top)
+            self.top = a if self.size[a] > self.size[top] else top
+
+    def in_top(self, x: int) -> bool:
+        """Whether x is in the largest component."""
+        return self.find(x) == self.find(self.top)
 
 
-def chunk_edges(ids: list[int], sets: list[np.ndarray], asks: list[bool], num: int, den: int) -> list[tuple[int, int]]:
+def chunk_edges(ids: list[int], sets: list[np.ndarray], asks: list[bool], num: int, den: int, pivot: int | None = None) -> list[tuple[int, int]]:
     """(id, smaller id) edges that span the components of one chunk.
 
-    Without ``asks`` each set is searched among the others; else those that ask are searched among those that don't.
+    Without ``asks`` the pivot is searched among the others, then each set that is not in the largest component: of two
+    linked sets in different components at the end one has been searched, so there are none. Else those that ask are
+    searched among those that don't.
     """
-    order = sorted(range(len(ids)), key=lambda i: (asks[i], ids[i]))
+    order = sorted(range(len(ids)), key=lambda i: (asks[i], ids[i] != pivot, ids[i]))
     ids, sets, asks = [ids[i] for i in order], [sets[i] for i in order], [asks[i] for i in order]
     forest, indexed = Forest(len(ids)), asks.count(False)
     if not indexed:
         return []
     index = Index(sets[:indexed])
-    for q in range(indexed if indexed < len(ids) else 0, len(ids)):
-        for c in index.search(sets[q], num, den, lambda c, q=q: forest.find(c) == forest.find(q)):
+
+    def search(q: int) -> None:
+        for c in index.search(sets[q], num, den, lambda c: forest.find(c) == forest.find(q), q < indexed):
             forest.join(c, q)
-        if forest.parts == 1:
-            break
+
+    if indexed < len(ids):
+        for q in range(indexed, len(ids)):
+            search(q)
+    else:
+        search(0)
+        todo = list(range(1, len(ids)))
+        while todo and forest.parts > 1:
+            later = []
+            for q in todo:
+                if forest.in_top(q):
+                    later.append(q)
+                else:
+                    search(q)
+            todo = [q for q in later if not forest.in_top(q)]
     roots: dict[int, int] = {}
     for i, x in enumerate(ids):
         r = forest.find(i)
@@ -221,7 +227,7 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def flush() -> None:
             if len(ids) > 1:
-                out.extend(chunk_edges(ids, sets, asks, num, den))
+                out.extend(chunk_edges(ids, sets, asks, num, den, at[0]))
 
         def batch() -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], ["u", "v"])
@@ -249,21 +255,38 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _signed(text: str, width: int) -> Column:
-    """struct(n, cls) of a text; cls is null where there are no shingles."""
+def namer(clashing: frozenset[int] = frozenset(), bits: int = 64) -> Callable[[np.ndarray], int]:
+    """A function that names sets: by ``bits`` of their hash, or by their second hash where others have the same name."""
+    return lambda s: c if (c := set_id(s) >> (64 - bits)) not in clashing else set_id(s, second=True)
 
-    @F.pandas_udf("n long, cls long")
+
+def _signed(text: str, width: int, bits: int = 64) -> Column:
+    """struct(n, cls, chk) of a text; cls and chk, the second hash, are null where there are no shingles."""
+    name = namer(bits=bits)
+
+    @F.pandas_udf("n long, cls long, chk long")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        rows = [(len(s), set_id(s)) if len(s) else (0, None) for s in shingle_sets(texts, width)]
+        rows = [(len(s), name(s), set_id(s, second=True)) if len(s) else (0, None, None) for s in shingle_sets(texts, width)]
         # Not by way of a float column, which would round the classes of a batch with an empty text.
-        return pd.DataFrame({"n": [n for n, _ in rows], "cls": pd.array([c for _, c in rows], dtype="Int64")}, index=texts.index)
+        whole = lambda i: pd.array([r[i] for r in rows], dtype="Int64")
+        return pd.DataFrame({"n": [r[0] for r in rows], "cls": whole(1), "chk": whole(2)}, index=texts.index)
 
     return sign(text)
 
 
-def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, text) -> (id, n, cls)."""
-    return docs.withColumn("s", _signed("text", width)).select("id", "s.n", "s.cls")
+def _classes(docs: DataFrame, width: int, bits: int, most: int = 100_000) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(id, text) -> signatures (id, n, cls), classes (cls, id, n) of rows with an id, and the names that clashed."""
+    raw = stored(docs.withColumn("s", _signed("text", width, bits)).select("id", "s.n", "s.cls", "s.chk"), "signatures")
+    by = raw.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+    by = stored(by, "classes")
+    # Of 10**10 classes about three pairs share 64 bits.
+    clashing = frozenset(r["cls"] for r in by.where("lo <> hi").select("cls").limit(most + 1).collect())
+    if len(clashing) > most:
+        raise RuntimeError("the names of sets have too few bits")
+    if clashing:
+        raw = raw.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("chk")).otherwise(F.col("cls")))
+        by = stored(raw.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
+    return raw.select("id", "n", "cls"), by.where("id is not null").select("cls", "id", "n"), clashing
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -271,96 +294,131 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _least(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each key with its smallest class; and the other (key, class) entries of keys that have several classes."""
+def _least(keys: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first entry of each key is and where the others are, by key and then class (the first of ``others``);
+    an entry that repeats both is left out."""
+    cls = others[0]
     order = np.lexsort((cls, keys))
-    keys, cls = keys[order], cls[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])]) if len(keys) else np.zeros(0, bool)
-    keys, cls = keys[new], cls[new]
-    first = _runs(keys)
-    rest = np.ones(len(keys), bool)
-    rest[first] = False
-    return keys[first], cls[first], keys[rest], cls[rest]
+    k, c = keys[order], cls[order]
+    order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])] if len(k) else order
+    first = np.zeros(len(order), bool)
+    first[_runs(keys[order])] = True
+    return order[first], order[~first]
+
 
+_PACK = "bucket int, late int, low binary, cls binary, code binary, n binary"
+_SHARED = "pivot long, cls long, key long, n long, code int"
 
-def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, flush: int = 1 << 20) -> DataFrame:
-    """(id, text) -> (pivot, cls): the classes that share a key with a smaller one, the smallest being their pivot.
+
+def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, name: Callable[[np.ndarray], int], flush: int = 1 << 20) -> DataFrame:
+    """(id, text) -> for keys of several classes (pivot, cls) with the key's smallest class as pivot, and key 0; of keys
+    with FREQUENT entries or more, (key, n, cls, code) instead, with the number n of entries.
 
     Keys are sorted and packed, some million at a time. Of each key a pack has its smallest class first and apart from
-    the others, so that what must be held together of a key in its bucket is one class a pack; the others stream past
-    to get the smallest of those as their pivot. A key of very many classes thus needs no memory for them.
+    the others, so that what must be held together of a key in its bucket is one class a pack; the others stream past.
+    A key of very many classes thus needs no memory for them.
     """
 
-    def rows_of(keys: np.ndarray, cls: np.ndarray, late: int) -> list[tuple]:
-        if not len(keys):
-            return []
-        bucket = ((keys >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
-        first = _runs(bucket)
-        low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-        return [(int(bucket[i]), late, low[i:j].tobytes(), cls[i:j].tobytes()) for i, j in zip(first, np.append(first[1:], len(keys)), strict=True)]
-
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
+        def rows_of(late: int, keys: np.ndarray, cls: np.ndarray, code: np.ndarray, n: np.ndarray) -> list[tuple]:
+            if not len(keys):
+                return []
+            bucket = ((keys >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
+            first = _runs(bucket)
+            low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
+            return [(int(bucket[i]), late, low[i:j].tobytes(), cls[i:j].tobytes(), code[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(first, np.append(first[1:], len(keys)), strict=True)]
+
         def flushed() -> pd.DataFrame:
-            keys, cls, more, others = _least(np.concatenate(held).view(_U), np.concatenate(owners))
-            return pd.DataFrame(rows_of(keys, cls, 0) + rows_of(more, others, 1), columns=["bucket", "late", "a", "b"])
+            keys, cls, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys = keys.view(_U)
+            first, rest = _least(keys, cls)
+            at = np.searchsorted(keys[first], keys[rest])
+            n = (1 + np.bincount(at, minlength=len(first))).astype(np.uint32)
+            out = rows_of(0, keys[first], cls[first], code[first], n) + rows_of(1, keys[rest], cls[rest], code[rest], np.zeros(0, np.uint32))
+            return pd.DataFrame(out, columns=["bucket", "late", "low", "cls", "code", "n"])
 
         for batch in batches:
             for s in shingle_sets(batch["text"], width):
-                keys = keys_of(s, num, den) if len(s) else ()
+                keys, code = keys_of(s, num, den) if len(s) else ((), ())
                 if len(keys):
-                    held.append(keys)
-                    owners.append(np.full(len(keys), set_id(s), np.int64))
+                    held.append((keys, np.full(len(keys), name(s), np.int64), code))
                     size += len(keys)
                 if size >= flush:
                     yield flushed()
                     held.clear()
-                    owners.clear()
                     size = 0
         if size:
             yield flushed()
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, keys, cls, known = None, [], [], None
-
-        def pairs(pivot: np.ndarray, member: np.ndarray) -> pd.DataFrame:
-            found = np.unique(np.stack([pivot, member], 1)[pivot != member], axis=0)
-            return pd.DataFrame({"pivot": found[:, 0], "cls": found[:, 1]})
-
-        def met() -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
-            one, least, more, others = _least(np.concatenate(keys), np.concatenate(cls))
-            return one, least, pairs(least[np.searchsorted(one, more)], others)
+        at, early, known = None, [], None
+
+        def entries(low: np.ndarray, cls: np.ndarray, code: np.ndarray, first: bool = False) -> pd.DataFrame:
+            """The rows of some entries; those that come first with their key are rows only if it is frequent."""
+            one, least, total = known
+            i = np.searchsorted(one, low)
+            often = total[i] >= FREQUENT
+            few = np.zeros(0, np.int64) if first else np.flatnonzero(~often & (least[i] != cls))
+            pairs = np.unique(np.stack([least[i][few], cls[few]], 1), axis=0)
+            many = np.flatnonzero(often)
+            key = (np.int64(at) << 32) | low[many].astype(np.int64)
+            zero, none = np.zeros(len(pairs), np.int64), np.zeros(len(many), np.int64)
+            halves = {"pivot": (pairs[:, 0], none), "cls": (pairs[:, 1], cls[many]), "key": (zero, key), "n": (zero, total[i][many]), "code": (zero, code[many].astype(np.int64))}
+            return pd.DataFrame({c: np.concatenate(h) for c, h in halves.items()})
+
+        def met() -> tuple[tuple, list[pd.DataFrame]]:
+            nonlocal known
+            low, cls, code, n = (np.concatenate(x) for x in zip(*early, strict=True))
+            order = np.argsort(low, kind="stable")
+            total = np.add.reduceat(n[order].astype(np.int64), _runs(low[order]))
+            first, rest = _least(low, cls)
+            known = (low[first], cls[first], total)
+            return known, [entries(low[first], cls[first], code[first], True), entries(low[rest], cls[rest], code[rest])]
 
         for batch in batches:
-            for bucket, late, a, b in zip(batch["bucket"], batch["late"], batch["a"], batch["b"], strict=True):
+            for bucket, late, *fields in zip(*(batch[c] for c in ("bucket", "late", "low", "cls", "code", "n")), strict=True):
+                low, cls, code, n = (np.frombuffer(f, t) for f, t in zip(fields, (np.uint32, np.int64, np.uint16, np.uint32), strict=True))
                 if bucket != at:
-                    if keys and known is None:
-                        yield met()[2]
-                    at, keys, cls, known = bucket, [], [], None
+                    if early and known is None:
+                        yield from met()[1]
+                    at, early, known = bucket, [], None
                 if late:
                     if known is None:
-                        one, least, some = met()
-                        known = (one, least)
-                        yield some
-                    yield pairs(known[1][np.searchsorted(known[0], np.frombuffer(a, np.uint32))], np.frombuffer(b, np.int64))
+                        yield from met()[1]
+                    yield entries(low, cls, code)
                 else:
-                    keys.append(np.frombuffer(a, np.uint32))
-                    cls.append(np.frombuffer(b, np.int64))
-        if keys and known is None:
-            yield met()[2]
+                    early.append((low, cls, code, n))
+        if early and known is None:
+            yield from met()[1]
 
-    packed = docs.select("text").mapInPandas(pack, "bucket int, late int, a binary, b binary")
+    packed = docs.select("text").mapInPandas(pack, _PACK)
     parts = max(1, min(n_buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "late").mapInPandas(meet, "pivot long, cls long")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "late").mapInPandas(meet, _SHARED)
+
 
+def _members(shared: DataFrame, salt_each: int = 4096) -> DataFrame:
+    """The distinct (pivot, cls) of all cells, pivots among them, when every class has given up its most frequent keys."""
+    own = shared.where("n > 0").groupBy("cls", "code").agg(F.collect_set(F.struct("n", "key")).alias("ks"))  # as many as a text has parts
+    last = F.sort_array("ks", asc=False)
+    kept = own.withColumn("k", F.explode(F.slice(last, F.shiftright("code", 2) + 1, F.size("ks")))).select("cls", "k.n", "k.key")
+    kept = stored(kept, "frequent")
+    # A key may have a large part of all classes: its rows meet their pivot in as many tasks as they need.
+    salts = F.greatest(F.ceil(F.col("n") / F.lit(salt_each)), F.lit(1)).cast("int")
+    pivots = kept.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("n").alias("n"), F.count("*").alias("c")).where("c > 1")
+    pivots = pivots.select("key", "pivot", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    often = kept.withColumn("salt", F.pmod(F.xxhash64("cls"), salts).cast("int")).join(pivots, ["key", "salt"]).select("pivot", "cls")
+    pairs = shared.where("n = 0").select("pivot", "cls").unionByName(often.where("pivot <> cls"))
+    return pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
 
-def _from_texts(docs: DataFrame, wanted: DataFrame, width: int, schema: str, rows: Callable[[np.ndarray], list[tuple]], bits: int = 1 << 25) -> DataFrame:
-    """(cls, schema) with the rows that ``rows`` makes of each wanted (id, cls), from its text; texts are not shuffled.
 
-    A bitmap of the wanted ids, of a fixed size, goes to every task: where it is full it only prunes less.
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, name: Callable[[np.ndarray], int], bits: int = 1 << 25) -> DataFrame:
+    """(cls, elements) of each wanted (id, cls), from its text; texts are not shuffled.
+
+    A bitmap of the wanted ids, of a fixed size, goes to every task: where it is full it only prunes less. The join is by
+    id and class, so that a set with very many copies does not send them all to one task.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     maps = wanted.select((slot + 1).alias("b"))  # the bitmap functions count from 1
@@ -369,114 +427,72 @@ def _from_texts(docs: DataFrame, wanted: DataFrame, width: int, schema: str, row
     for k, m in maps.collect():
         table[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have = np.frombuffer(shared.value, np.uint8)
+        have, seen = np.frombuffer(shared.value, np.uint8), set()
         for b in batches:
             slots = b["slot"].to_numpy()
             # bit positions count from the lowest bit of a byte
             b = b[(have[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)]
             for lo in range(0, len(b), 256):
-                part = b[lo : lo + 256]
-                out = [(i, set_id(s), *r) for i, s in zip(part["id"], shingle_sets(part["text"], width), strict=True) if len(s) for r in rows(s)]
-                yield pd.DataFrame(out, columns=["__id", "cls", *names])
-
-    made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, f"__id long, cls long, {schema}")
-    # Joined by cls alone, so that one shuffle serves for this and for the join to cells.
-    return made.join(wanted.select("id", "cls"), "cls").where("id = __id").select("cls", *names)
-
+                part, out = b[lo : lo + 256], []
+                for i, s in zip(part["id"], shingle_sets(part["text"], width), strict=True):
+                    if len(s) and (row := (i, name(s))) not in seen:  # of rows that repeat both, one a task
+                        seen.add(row)
+                        out.append((*row, s.view(np.int64)))
+                yield pd.DataFrame(out, columns=["id", "cls", "elements"])
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    return _from_texts(docs, wanted, width, "elements array<long>", lambda s: [(s.view(np.int64),)]).dropDuplicates(["cls"])
+    made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, "id long, cls long, elements array<long>")
+    return made.join(wanted.select("id", "cls"), ["id", "cls"]).dropDuplicates(["id", "cls"]).select("cls", "elements")
 
 
 def _chunks(c: str, e: str) -> Column:
     return F.greatest(F.ceil(F.col(c) / F.lit(CHUNK_SETS)), F.ceil(F.col(e) / F.lit(CHUNK_ELEMENTS))).cast("int")
 
 
-def _likely(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The members (pivot, cls, n) of cells that have a partner there which is alike enough in the profiles.
-
-    Sets that share a passage share a key now and then, but few parts. Profiles are a small part of the sets' size, and
-    each chunk of a cell meets each other one of it, so that no pair of a cell is left out.
-    """
-    per_cell = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
-    cells = members.join(per_cell.select("pivot", _chunks("c", "e").alias("m")), "pivot").withColumn("own", F.pmod(F.xxhash64("pivot", "cls"), F.col("m")).cast("int"))
-    met = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("pivot", "cls", "own", F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"))
-    profiles = _from_texts(docs, members.select("cls").distinct().join(classes, "cls"), width, "band int, profile binary", lambda s: profiles_of(s, num, den)).dropDuplicates(["cls", "band"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, cls, own, held = None, [], [], []
-
-        def found() -> pd.DataFrame:
-            pivot, x, y, band = at
-            table = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
-            side = np.array(own)
-            yes = alike(table, np.flatnonzero(side == x), np.flatnonzero(side == y), least_equal(band, num, den))
-            return pd.DataFrame({"pivot": np.full(int(yes.sum()), pivot, np.int64), "cls": np.array(cls, np.int64)[yes]})
-
-        for batch in batches:
-            for pivot, x, y, band, c, o, profile in zip(*(batch[k] for k in ("pivot", "x", "y", "band", "cls", "own", "profile")), strict=True):
-                if (pivot, x, y, band) != at:
-                    if len(held) > 1:
-                        yield found()
-                    at, cls, own, held = (pivot, x, y, band), [], [], []
-                cls.append(c)
-                own.append(o)
-                held.append(profile)
-        if len(held) > 1:
-            yield found()
-
-    key = ["pivot", "x", "y", "band"]
-    rows = met.join(profiles, "cls").select(*key, "cls", "own", "profile")
-    kept = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "pivot long, cls long").distinct()
-    return kept.join(members, ["pivot", "cls"])
-
-
 def _same_id(known: DataFrame) -> DataFrame:
     """Edges between the classes of each id that has several."""
     several = stored(known.groupBy("id").agg(F.min("cls").alias("v"), F.max("cls").alias("most")).where("v <> most").select("id", "v"), "several")
     return known.join(several, "id").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct()
 
 
-def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def link_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5, bits: int = 64) -> DataFrame:
     """key, n_shingles and component_id (the smallest id that links reach) of every row of docs.
 
-    Rows with one id are one document, so they have one component, also if their texts are not alike.
+    Rows with one id are one document, so they have one component, also if their texts are not alike. ``bits`` is the
+    length of the names of sets before clashes are resolved.
     """
-    return _grouped(docs, key, text, width, num, den, True).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    return _grouped(docs, key, text, width, num, den, True, bits).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, by_id: bool) -> DataFrame:
+def _grouped(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, by_id: bool, bits: int = 64) -> DataFrame:
     """id, n, cls, root (the component's own name) and component_id of every row; ids join classes only with ``by_id``."""
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stored(_signatures(slim, width), "signatures")
+    slim = docs.select(F.expr(f"try_cast(`{key}` as long)").alias("id"), F.col(text).alias("text"))
+    texts = slim.where("id is not null")
+    signed, classes, clashing = _classes(slim, width, bits)
+    name = namer(clashing, bits)
     known = signed.where("cls is not null and id is not null")
-    classes = stored(known.groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
     # About a million keys a bucket: a word has 0.2 to 0.6 of them.
     words = (signed.agg(F.sum("n")).first()[0] or 0) + 1
     n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 1e6)))
-    pairs = stored(_shared_keys(slim.where("id is not null"), width, num, den, n_buckets), "shared-keys")
-    members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
+    members = _members(stored(_shared_keys(texts, width, num, den, n_buckets, name), "shared-keys"))
     members = stored(members.join(classes.select("cls", "n"), "cls"), "members")
-    texts = slim.where("id is not null")
-    members = stored(_likely(members, texts, classes, width, num, den), "likely")
-    per_cell = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
-    cells = stored(members.join(per_cell.select("pivot", _chunks("c", "e").alias("m")), "pivot"), "cells")
-    wanted = cells.select("cls").distinct().join(classes, "cls")
+    # Cells of several chunks are few, so their sizes travel to the members and not the members to the sizes.
+    large = stored(members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e")).select("pivot", _chunks("c", "e").alias("m")).where("m > 1"), "large")
+    n_large = large.count()
+    cells = members.join(sized_broadcast(large, n_large), "pivot", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    wanted = members.select("cls").distinct().join(classes, "cls")
     own = F.pmod(F.xxhash64("pivot", "cls"), F.col("m")).cast("int")
     placed = cells.withColumn("chunk", F.explode(F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     placed = placed.withColumns({"block": F.lit(0), "asks": F.lit(False)})
-    edges = stored(_search(placed.join(_sets_of(texts, wanted, width), "cls"), num, den), "links")
+    edges = stored(_search(placed.join(_sets_of(texts, wanted, width, name), "cls"), num, den), "links")
     if by_id:
         edges = edges.unionByName(_same_id(known))
     roots = components(edges)
-    cut = cells.where("m > 1")
-    if not cut.isEmpty():
-        blocks = stored(_unsettled(cut, placed, roots), "blocks")
+    if n_large:
+        blocks = stored(_unsettled(cells.where("m > 1"), placed, roots), "blocks")
         if not blocks.isEmpty():
-            again = _sets_of(texts, blocks.select("cls").distinct().join(classes, "cls"), width)
+            again = _sets_of(texts, blocks.select("cls").distinct().join(classes, "cls"), width, name)
             edges = edges.unionByName(stored(_search(blocks.join(again, "cls"), num, den), "links"))
             roots = components(edges)
     # The smallest document id of each component, by way of the classes.

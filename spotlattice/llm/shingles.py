@@ -93,8 +93,8 @@ def shingle_sets(texts: Iterator[str | None], width: int) -> Iterator[np.ndarray
             yield from _slab(held, width)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set; equal for equal sets."""
+def set_id(s: np.ndarray, second: bool = False) -> int:
+    """A signed 64-bit name of a set, or a second one; equal for equal sets."""
     with np.errstate(over="ignore"):
-        total = mix(s + _U(0x2545F4914F6CDD1D)).sum(dtype=_U, keepdims=True)
+        total = mix(s + _U(0x9FB21C651E98DF25 if second else 0x2545F4914F6CDD1D)).sum(dtype=_U, keepdims=True)
         return int(mix(total + _U(len(s))).view(np.int64)[0])
