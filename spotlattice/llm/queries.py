@@ -120,10 +120,34 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The checksums of the texts by the table of the reflected polynomial.
+OP9_SQL = r"""
+WITH RECURSIVE bits(b, k, v) AS (SELECT b::BIGINT, 0, b::BIGINT FROM range(256) t(b) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, source, row_number() OVER () AS row, encode(coalesce(text, '')) AS bytes, md5('11:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, (octet_length(bytes) + 16)::BIGINT AS size, h,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+f AS (SELECT *, (2 * (row_number() OVER (PARTITION BY k ORDER BY h, doc_id, text_crc32) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY k)) AS f, count(*) OVER () AS n FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY f, k, h, doc_id, text_crc32) - 1 AS pos FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((pos * 40) // n)::INT AS shard, pos - ((pos * 40) // n * n + 39) // 40 AS slot, NULL::INT AS grown_shard FROM p
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
     return jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) AS t(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT i, j FROM c JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(i, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.i)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT i AS doc_id, min(root) AS component_id FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+
 QUERIES = {"op1_pii_surrogates": op1_pii_surrogates, "op2_language_id": op2_language_id, "op3_best_fit_packing": op3_best_fit_packing, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_transport_stream": op6_transport_stream, "op7_mixing": op7_mixing, "op8_iblt_fingerprint": op8_iblt_fingerprint, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_mixing": OP7_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL}
