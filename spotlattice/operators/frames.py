@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlattice.operators.barcodes import spot_matrix
@@ -27,12 +28,14 @@ def significance(z: DataFrame, spots: DataFrame, region: str) -> DataFrame:
 
 
 def clone_profile_lines(profiles: DataFrame, bins: DataFrame) -> DataFrame:
-    return profiles.join(F.broadcast(bins.select("bin_id", "chr", "start")), "bin_id").select("clone", "bin_id", "chr", "start", "cna")
+    return profiles.join(F.broadcast(bins.select("bin_id", "chr", "start")), "bin_id").select("sample", "clone", "bin_id", "chr", "start", "cna")
 
 
 def top_variance_genes(vd: DataFrame, n_top: int = 40) -> DataFrame:
-    """The genes of the largest explained share, with both parts stacked."""
-    return vd.withColumn("explained", F.col("vd_genetic") + F.col("vd_microenv")).orderBy(F.col("explained").desc(), "gene").limit(n_top)
+    """The genes of each sample with the largest explained share, with both parts stacked."""
+    df = vd.withColumn("explained", F.col("vd_genetic") + F.col("vd_microenv"))
+    rank = F.row_number().over(W.partitionBy("sample").orderBy(F.col("explained").desc(), "gene"))
+    return df.withColumn("rank", rank).where(F.col("rank") <= n_top).drop("rank")
 
 
 def marginal_bars(marginals: DataFrame, axis: str) -> DataFrame:

@@ -15,6 +15,15 @@ def read_fragments(spark: SparkSession, path: str, partitions: int | None = None
     return df.repartition(partitions) if partitions else df
 
 
+def read_spot_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """barcode (trimmed, in capitals) and fragments of a table with a header; its count may be called ``count``."""
+    df = spark.read.csv(path, sep="\t", header=True)
+    count = next((c for c in ("fragments", "count") if c in df.columns), None)
+    if "barcode" not in df.columns or count is None:
+        raise ValueError("a table of barcodes needs the columns barcode and fragments (or count)")
+    return df.select(F.upper(F.trim("barcode")).alias("barcode"), F.col(count).cast("long").alias("fragments"))
+
+
 def place_fragments(fragments: DataFrame, matched: DataFrame, *, sample: str = "s0", bin_size: int = 1_000_000, genome: str = "hg38", grid: int = 50) -> DataFrame:
     """sample, spot_id, x_id, y_id, bin_id of every fragment with a mapped barcode in the grid, by its midpoint.
 
@@ -60,8 +69,3 @@ def from_matrix(spark: SparkSession, matrix, bins: DataFrame, *, xs=None, ys=Non
     counts = wide.select("sample", "spot_id", F.posexplode("v").alias("bin_id", "n")).where("n <> 0")
     spots = wide.select("sample", "spot_id", "x_id", "y_id", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_frags"))
     return SpatialDataset(spots, bins, counts, meta={"sample": sample, "grid": str(side)})
-
-
-def from_pipeline_stream(fragments: DataFrame, matched: DataFrame, **options) -> DataFrame:
-    """The count of each spot and bin over a stream of fragments: counts add up, so update mode gives the same table."""
-    return counts_of(place_fragments(fragments, matched, **options))

@@ -15,8 +15,6 @@ def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
 
 
 def write_fragments(df: DataFrame, paths: list[str]) -> None:
-    """The same gzip lines in each folder; computed once."""
-    df = df.persist()
+    """The same gzip lines in each folder."""
     for path in paths:
         write_lines(df, path)
-    df.unpersist()
