@@ -1,11 +1,13 @@
 """Media columns as MPEG transport streams.
 
 ``mux`` wraps a payload as one elementary stream: PES packets of a fixed share of the payload, each with a presentation
-time stamp, cut into 188-byte transport packets with continuity counters. Each PES packet starts a random-access point,
-and the program tables (PAT and PMT, with their CRC) stand before every ``TABLES_EVERY``-th of them. ``demux`` goes by
-what the stream says: it finds the PMT through the PAT and the elementary stream through the PMT, checks every
-continuity counter, and puts the PES packets together again by their start flags, for any PIDs and any order of
-adaptation fields. ``media_features`` stores the time stamps and the byte places of the random-access points.
+time stamp, cut into 188-byte transport packets with continuity counters. Every ``ACCESS_EVERY``-th PES packet starts a
+random-access point, and the program tables (PAT and PMT, with their CRC) stand before every ``TABLES_EVERY``-th. The stream
+is private data without a clock reference, and the PMT says so. ``demux`` goes by what the stream says: it finds the PMT
+through the PAT's first program (number 0 is the network, not a program) and the elementary stream through the PMT, checks
+every program table and every continuity counter, and puts the PES packets together again by their start flags, for any
+PIDs and any order of adaptation fields. ``media_features`` stores the time stamps and the byte places of the
+random-access points.
 
 Both work on whole payloads with numpy, in memory proportional to one payload.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,9 +36,11 @@ STREAM_ID_PRIVATE = 0xBD
 CRC_POLY = 0x04C11DB7
 CLOCK = 90_000
 PTS_MODULUS = 1 << 33
+NO_PCR = 0x1FFF
 
-#: Payload bytes of a PES packet, its duration in ticks of the 90 kHz clock, and PES packets from one PAT to the next.
-PES_BYTES, PES_TICKS, TABLES_EVERY = 2048, 3600, 16
+#: Payload bytes of a PES packet, its duration in ticks of the 90 kHz clock, and PES packets from one PAT to the next, and
+#: from one random-access point to the next.
+PES_BYTES, PES_TICKS, TABLES_EVERY, ACCESS_EVERY = 2048, 3600, 16, 4
 #: Samples are padded with zero bytes to a positive multiple of this.
 ALIGN = 64
 
@@ -71,7 +76,7 @@ def _table_packet(pid: int, section: bytes) -> bytes:
 
 
 _PAT = _table_packet(PAT_PID, _section(0, 1, bytes([0, 1, 0xE0 | PMT_PID >> 8, PMT_PID & 0xFF])))
-_PMT = _table_packet(PMT_PID, _section(2, 1, bytes([0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0, STREAM_TYPE_PRIVATE, 0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0])))
+_PMT = _table_packet(PMT_PID, _section(2, 1, bytes([0xE0 | NO_PCR >> 8, NO_PCR & 0xFF, 0xF0, 0, STREAM_TYPE_PRIVATE, 0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0])))
 
 
 def _pts_bytes(pts: int) -> bytes:
@@ -87,9 +92,9 @@ def pad(data: bytes) -> bytes:
     return data.ljust(max(ALIGN, -(-len(data) // ALIGN) * ALIGN), b"\0")
 
 
-def _pes_packets(pes: bytes, counter: int) -> np.ndarray:
-    """Transport packets of one PES packet. The first has an adaptation field with the random-access flag, the last is
-    filled up by stuffing in one."""
+def _pes_packets(pes: bytes, counter: int, access: bool) -> np.ndarray:
+    """Transport packets of one PES packet. The first has an adaptation field, which tells whether it is a random-access
+    point, the last is filled up by stuffing in one."""
     first, full = PACKET - 4 - 2, PACKET - 4
     rest = max(0, len(pes) - first)
     n = 1 + -(-rest // full)
@@ -102,7 +107,7 @@ def _pes_packets(pes: bytes, counter: int) -> np.ndarray:
     out[0, 3] |= 0x20
     data = np.frombuffer(pes, np.uint8)
     spare = max(0, first - len(data))
-    out[0, 4], out[0, 5] = 1 + spare, 0x40
+    out[0, 4], out[0, 5] = 1 + spare, 0x40 if access else 0
     out[0, 6 + spare :] = data[:first]
     if n > 1:
         whole, tail = divmod(rest, full)
@@ -126,14 +131,15 @@ def mux(payload: bytes) -> bytes:
             tables += 1
         chunk = payload[k * PES_BYTES : (k + 1) * PES_BYTES]
         head = b"\0\0\1" + bytes([STREAM_ID_PRIVATE]) + (len(chunk) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _pts_bytes(k * PES_TICKS % PTS_MODULUS)
-        packets = _pes_packets(head + chunk, counter)
+        packets = _pes_packets(head + chunk, counter, k % ACCESS_EVERY == 0)
         counter = (counter + len(packets)) & 15
         parts.append(packets.tobytes())
     return b"".join(parts)
 
 
-def _table_body(packet: np.ndarray, table_id: int) -> bytes:
-    raw = packet.tobytes()
+@lru_cache(maxsize=256)
+def _table_body(raw: bytes, table_id: int) -> bytes:
+    """The body of the section in a packet, when its checksum is right."""
     at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
     at += 1 + raw[at]
     length = (raw[at + 1] & 0x0F) << 8 | raw[at + 2]
@@ -143,6 +149,15 @@ def _table_body(packet: np.ndarray, table_id: int) -> bytes:
     return section[8:-4]
 
 
+def _tables(packets: np.ndarray, table_id: int, missing: str) -> bytes:
+    """The first one's body, when each of the tables has been checked; equal packets are checked once."""
+    if not len(packets):
+        raise ValueError(missing)
+    plain = packets.copy()
+    plain[:, 3] &= 0xF0  # but for the counter
+    return [_table_body(packet.tobytes(), table_id) for packet in plain][0]
+
+
 def demux(stream: bytes) -> tuple[bytes, list[int], list[int]]:
     """The payload, the time stamps, and for each random-access point the payload offset where it starts."""
     if len(stream) % PACKET or not stream:
@@ -153,15 +168,12 @@ def demux(stream: bytes) -> tuple[bytes, list[int], list[int]]:
     if (p[:, 1] & 0x80).any():
         raise ValueError("transport error flag")
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    pats = np.flatnonzero(pid == PAT_PID)
-    if not len(pats):
-        raise ValueError("no program association table")
-    body = _table_body(p[pats[0]], 0)
-    pmt_pid = (body[2] & 0x1F) << 8 | body[3]
-    pmts = np.flatnonzero(pid == pmt_pid)
-    if not len(pmts):
-        raise ValueError("no program map table")
-    body = _table_body(p[pmts[0]], 2)
+    body = _tables(p[pid == PAT_PID], 0, "no program association table")
+    programs = [e for e in zip(*[iter(body)] * 4, strict=False) if e[0] << 8 | e[1]]
+    if not programs:
+        raise ValueError("no program")
+    pmt_pid = (programs[0][2] & 0x1F) << 8 | programs[0][3]
+    body = _tables(p[pid == pmt_pid], 2, "no program map table")
     skip = 4 + ((body[2] & 0x0F) << 8 | body[3])
     es_pid = (body[skip + 1] & 0x1F) << 8 | body[skip + 2]
     for x in (PAT_PID, pmt_pid):  # the tables' counters
