@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spotlattice.llm.order import n_buckets
+from spotlattice.llm.order import prefix_sums, steps
 from spotlattice.llm.util import stored
 
 CELLS = 18
@@ -103,7 +103,9 @@ def differences(pairs: DataFrame, *, rounds: int = 30) -> DataFrame:
 
     ``pair`` must be unique. Each round takes what has failed, as four parts each; it ends when nothing has.
     """
-    left = pairs.select("pair", "a", "b")
+    # Few bytes, much work: as many tasks as rows ask for, not as bytes do.
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // 20_000))
+    left = pairs.select("pair", "a", "b").repartition(tasks, "pair")
     done: list[DataFrame] = []
     for level in range(rounds):
         close = F.abs(F.size("a") - F.size("b")) <= MOST
@@ -123,21 +125,19 @@ def differences(pairs: DataFrame, *, rounds: int = 30) -> DataFrame:
 def with_successor(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "next_text") -> DataFrame:
     """docs with the text of the row that follows by key (after the last, the first); one shuffle of the texts.
 
-    Rows are dealt into narrow ranges of the key. A window in each finds the successor; the last row of a range takes
-    the first of the next range that has rows. Those ranges are ordered in two levels, so no task sees them all.
+    Rows are dealt into narrow ranges of the key, of which heavy ones are cut again. A window in each finds the successor;
+    the last row of a range takes the first of the next range that has rows. Ranges are numbered without one task seeing
+    them all. Rows that share a key stay in one range.
     """
-    lo, hi, rows = docs.agg(F.min(key), F.max(key), F.count("*")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // n_buckets(rows, each=500, most=1 << 24) + 1
-    df = docs.withColumns({"__b": F.coalesce(F.expr(f"(`{key}` - {lo}L) div {width}L"), F.lit(-1).cast("long")), "__x": F.xxhash64(text)})
+    every = steps(stored(docs.select(key), "keys"), key, each=500)
+    df = every.of(docs).withColumn("__x", F.xxhash64(text))
     order = [F.col(key).asc_nulls_first(), F.col("__x")]
     w = W.partitionBy("__b").orderBy(*order)
     heads = df.select("__b", F.col(key), "__x", F.struct(F.col(text).alias("t")).alias("__head")).withColumn("__r", F.row_number().over(w)).where("__r = 1").select("__b", "__head")
-    ranges = df.select("__b").distinct().withColumn("__s", F.expr("__b div 1024"))
-    tops = ranges.groupBy("__s").agg(F.min("__b").alias("__first"))
-    every = W.orderBy("__s")
-    tops = tops.select("__s", F.coalesce(F.lead("__first").over(every), F.first("__first").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("__after"))
-    follow = ranges.withColumn("__n", F.lead("__b").over(W.partitionBy("__s").orderBy("__b"))).join(tops, "__s").select("__b", F.coalesce("__n", "__after").alias("__n"))
+    ranges = stored(every.of(docs.select(key)).groupBy("__b").agg(F.lit(1).alias("one")), "ranges")
+    total = max(1, ranges.count())
+    numbered = stored(prefix_sums(ranges.withColumn("__at", F.col("__b")), None, every.bucket(), ["__at"], {"__i": F.lit(1).cast("long")}).select(F.col("__at").alias("__b"), "__i"), "numbered")
+    follow = numbered.select("__b", F.pmod(F.col("__i") + 1, F.lit(total)).alias("__i")).join(numbered.select("__i", F.col("__b").alias("__n")), "__i").select("__b", "__n")
     heads = follow.join(heads.withColumnRenamed("__b", "__n"), "__n").select("__b", "__head")
     led = df.withColumn("__lead", F.lead(F.struct(F.col(text).alias("t"))).over(w))
     return led.join(heads, "__b", "left").withColumn(out, F.coalesce(F.col("__lead"), F.col("__head"))["t"]).drop("__b", "__x", "__lead", "__head")

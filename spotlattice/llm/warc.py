@@ -1,7 +1,8 @@
 """A deterministic, sharded WARC writer, and its reader.
 
-Records are range-sorted by id. The ranges come from an exact histogram of payload bytes over equal steps of the id, not
-from a sample, so the same rows give the same shards, files and bytes in every run. Each writer task rolls its files by
+Records are range-sorted by id. The ranges come from an exact histogram of payload bytes over steps of the id, of which the
+heavy ones are cut again, not from a sample, so the same rows give the same shards, files and bytes in every run. There
+are as many shards as the bytes ask for; only rows that share an id can't be parted. Each writer task rolls its files by
 their compressed size, makes headers and digests anew from the payload, and writes under names of its own in
 ``_temporary``; the rows it returns are its manifest. Only the manifests of successful attempts reach the driver, which
 moves their files to their final names and writes ``MANIFEST.json`` last: a folder without it is not complete. Attempts
@@ -11,8 +12,8 @@ Of the records with equal payloads of at least ``min_revisit`` bytes the one wit
 the others are revisits that refer to it; marks for the revisits travel to the writers beside the pages, so that the
 payloads are shuffled once and a payload with many copies is never gathered.
 
-Defined cases: a null payload is empty; a null id sorts first and can be no revisit; null URLs become ``about:blank``;
-rows that repeat both id and payload of a response are responses too; an empty table gives an archive without files.
+Defined cases: a null payload is empty; a null id sorts first and can be no revisit; null and empty URLs become
+``about:blank``, and blanks and unprintable characters of other URLs ``%20``, so that a header stays one line; rows that repeat both id and payload of a response are responses too; an empty table gives an archive without files.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotlattice.llm.order import Steps, prefix_sums, steps
+from spotlattice.llm.util import sized_broadcast, stored
+
 VERSION = "WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,33 +125,26 @@ class _Files:
             self.done.append((self.shard, self.roll, f"{self.mine}/{self.name}", self.name, self.records, self.size, self.sha.hexdigest()))
 
 
-def _shards_by_bytes(rows: DataFrame, key: str, size: Column, shard_bytes: int, steps: int = 4096) -> tuple[Column, DataFrame]:
-    """The step that an id falls into, and a table (step, shard) of at most ``steps`` + 1 rows."""
-    lo, hi = rows.agg(F.min(key), F.max(key)).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // steps + 1
-    step = F.coalesce(F.expr(f"({key} - {lo}L) div {width}L"), F.lit(-1)).cast("int")
-    shard, held, out = 0, 0, []
-    for s, n in sorted(rows.groupBy(step.alias("s")).agg(F.sum(size)).collect()):
-        if held and held + n > shard_bytes:
-            shard, held = shard + 1, 0
-        held += n
-        out.append((s, shard))
-    return step, rows.sparkSession.createDataFrame(out or [(-1, 0)], "__step int, __shard int")
+def _shards_by_bytes(slim: DataFrame, shard_bytes: int) -> tuple[Steps, DataFrame]:
+    """Steps of page_id, and a table (__b, __shard) that puts them into shards of about shard_bytes, from (page_id, bytes)."""
+    every = steps(slim, "page_id", max(1, shard_bytes // 64), F.col("bytes"))
+    sums = stored(every.of(slim).groupBy("__b").agg(F.sum("bytes").alias("bytes")).withColumn("__at", F.col("__b")), "steps")
+    before = prefix_sums(sums, None, every.bucket(), ["__at"], {"__before": F.col("bytes")})
+    return every, stored(before.select(F.col("__at").alias("__b"), F.floor(F.col("__before") / F.lit(shard_bytes)).cast("int").alias("__shard")), "shards")
 
 
 def write(pages: DataFrame, root: str, *, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 64 << 20, level: int = 6) -> list[dict]:
     """Write pages as WARC files under the folder ``root``; the manifest is returned, a row for each file."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-    step, shards = _shards_by_bytes(rows, "page_id", F.octet_length("payload").cast("long"), shard_bytes)
+    every, shards = _shards_by_bytes(stored(rows.select("page_id", F.octet_length("payload").cast("long").alias("bytes")), "sizes"), shard_bytes)
     digests = rows.where(F.octet_length("payload") >= min_revisit).select("page_id", F.sha1("payload").alias("digest"))
     owners = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     marks = digests.join(owners, "digest").where("page_id < refers_to")
     lines = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     both = lines.unionByName(marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to"))
-    both = both.withColumn("__step", step).join(F.broadcast(shards), "__step")
-    n = max(1, shards.agg(F.max("__shard")).first()[0] + 1)
+    both = every.of(both).join(sized_broadcast(shards, shards.count(), 1_000_000), "__b")
+    n = (shards.agg(F.max("__shard")).first()[0] or 0) + 1
     # A task for each shard, by its number: by a hash some tasks would have several.
     both = both.repartitionById(n, "__shard").sortWithinPartitions("__shard", F.col("page_id").asc_nulls_first(), "kind", F.sha1("payload"), "url")
 
@@ -176,10 +174,10 @@ def commit(root: str, made: list[dict]) -> list[dict]:
     """Move finished files to their final names, write the manifest, and clear what lost attempts left."""
     fs, path = _fs(root)
     fs.create_dir(path, recursive=True)
-    manifest = []
-    for r in sorted(made, key=lambda r: r["name"]):
-        fs.move(r["tmp"], f"{path}/{r['name']}")
-        manifest.append({k: r[k] for k in ("name", "shard", "roll", "records", "bytes", "sha256")})
+    made = sorted(made, key=lambda r: r["name"])
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda r: fs.move(r["tmp"], f"{path}/{r['name']}"), made))
+    manifest = [{k: r[k] for k in ("name", "shard", "roll", "records", "bytes", "sha256")} for r in made]
     from pyarrow.fs import FileType
 
     if fs.get_file_info(f"{path}/_temporary").type == FileType.Directory:
