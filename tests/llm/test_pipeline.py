@@ -38,3 +38,41 @@ def test_stages(spark, folder):
     assert abs(words("mixing") - words("pii")) < 60
     assert sum(r["n_words"] for r in seen["packing"]) == words("mixing")
     assert corpus_pipeline.run(spark, folder).count() == len(seen["packing"])
+
+
+def stages(spark, docs, path):
+    docs.write.parquet(f"{path}/documents.parquet")
+    docs, seen = spark.read.parquet(f"{path}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, path), name)
+        seen[name] = docs.collect()
+        assert name == "packing" or docs.columns == columns
+    return seen
+
+
+def test_an_empty_table(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = str(tmp_path / "none")
+    assert all(rows == [] for rows in stages(spark, docs.limit(0), path).values())
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, ties, very long texts, and columns named as the operators name theirs."""
+    long = " ".join(f"wort{i}" for i in range(30_000))
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, words + " null id", "en", "a"), (1, words, "en", "a"), (1, words, "en", "a"), (2, words, "de", "b"), (3, None, None, None), (4, "", "en", "b"), (5, "short text", None, None), (6, long, "de", "a"), (7, long + " and more", "de", "b"), (8, "other words entirely here", "en", None), (8, "und noch ein text dazu", "de", "c"), (9, "12 34", "en", "a"), (10, "same size four words", "en", "a"), (11, "same four words size", "en", "a")]
+    extra = "score double, mix_size string, mix_source int, lang_pred string, n_words long, bin_id string, __src string, id long, cls long, n long"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 0.5, "s", 3, "p", 7, "b", "c", 1, 2, 3) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    seen = stages(spark, docs, str(tmp_path))
+    ids = lambda name: sorted(str(r["doc_id"]) for r in seen[name])
+    assert ids("language_id") == sorted(map(str, [None, 1, 1, 2, 5, 6, 7, 8, 8, 10, 11]))
+    assert ids("near_duplicates") == sorted(map(str, [None, 1, 5, 6, 8, 8, 10, 11]))
+    assert ids("pii") == ids("near_duplicates")
+    size = lambda name: sum(len((r["text"] or "").split()) for r in seen[name])
+    assert set(ids("mixing")) <= set(ids("pii")) and 0.5 * size("pii") < size("mixing") < 1.5 * size("pii")
+    assert sum(r["n_words"] for r in seen["packing"]) == size("mixing")
+    kept = seen["near_duplicates"][0]
+    assert (kept["mix_size"], kept["mix_source"], kept["score"], kept["bin_id"]) == ("s", 3, 0.5, "b")
+    assert seen["mixing"][0]["mix_size"] == "s" and seen["mixing"][0]["mix_source"] == 3
