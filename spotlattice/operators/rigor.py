@@ -47,7 +47,7 @@ def morans_i_permutation(spots: DataFrame, key: str, *, n_perm: int = 999, seed:
     perms = z.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     w = W.partitionBy("sample", "perm")
     places = perms.select("sample", "perm", "spot_id", F.row_number().over(w.orderBy("spot_id")).alias("r"))
-    values = perms.select("sample", "perm", "z", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "perm", "spot_id"), "spot_id")).alias("r"))
+    values = perms.select("sample", "perm", "z", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("spot_id").cast("string")).cast("binary")), "spot_id")).alias("r"))
     null = _moran(places.join(values, ["sample", "perm", "r"]).select("sample", "perm", "spot_id", "z"), adjacency(df), ["sample", "perm"])
     above = null.select("sample", F.col("i").alias("ip")).join(here, "sample").groupBy("sample").agg(F.sum((F.col("ip") >= F.col("i")).cast("int")).alias("c"))
     return here.join(above, "sample", "left").select("sample", "i", F.when(F.col("i").isNotNull(), (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n_perm + 1))).alias("p"))

@@ -283,6 +283,14 @@ ORACLE_SQL: dict[str, str] = {
     "copy_number_burden": _with(_BASE + _CN, f"SELECT spot_id, {_r('cnv_burden', 'cnv_burden')} FROM burden"),
     "adjacency_edges": _with(_BASE + _EDGES, "SELECT i, j FROM edges"),
     "morans_i": _with(_BASE + _EDGES, f"SELECT {_r(_moran('total_frags', 'spots'), 'i')}"),
+    "morans_i_permutation_p": _with(
+        _BASE + _EDGES,
+        f""", zs AS (SELECT spot_id, total_frags - avg(total_frags) OVER () AS z, row_number() OVER (ORDER BY spot_id) AS r FROM spots),
+        sh AS (SELECT perm, z, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || spot_id), spot_id) AS r FROM zs, range(1, 1000) AS t(perm)),
+        pz AS (SELECT perm, spot_id, sh.z FROM sh JOIN zs USING (r) UNION ALL SELECT 0, spot_id, z FROM zs),
+        pi AS (SELECT a.perm, (SELECT count(*) FROM spots)::DOUBLE / count(*) * (sum(a.z * b.z) / (SELECT sum(z * z) FROM zs)) AS i FROM edges JOIN pz a ON a.spot_id = edges.i JOIN pz b ON b.spot_id = edges.j AND b.perm = a.perm GROUP BY 1)
+        SELECT {_r('max(i) FILTER (WHERE perm = 0)', 'i')}, {_r('(count(*) FILTER (WHERE perm > 0 AND i >= (SELECT i FROM pi WHERE perm = 0)) + 1) / 1000.0::DOUBLE', 'p')} FROM pi""",
+    ),
     "heterogeneity_verdict": _with(
         _BASE + _CN + _EDGES,
         f"SELECT {_r('a', 'moran_coverage')}, {_r('b', 'moran_cnv_burden')}, coalesce(b > a, FALSE) AS cna_exceeds_coverage FROM (SELECT {_moran('total_frags', 'spots')} AS a, {_moran('cnv_burden', 'burden')} AS b)",
@@ -308,6 +316,20 @@ ORACLE_SQL: dict[str, str] = {
         gn AS (SELECT chr, k, l*l/k + (t-l)*(t-l)/(n-k) - t*t/n AS gain FROM sp WHERE k >= 3 AND k <= n - 3)
         SELECT chr, k::INT AS k, {_r('gain', 'gain')} FROM (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY -round(gain, 9), k) AS r FROM gn) WHERE r = 1""",
     ),
+    "segments_called": _with(
+        _BASE + _CN,
+        f""", ix AS (SELECT chr, bin_id, v, row_number() OVER (PARTITION BY chr ORDER BY bin_id) AS i, v - lag(v) OVER (PARTITION BY chr ORDER BY bin_id) AS d FROM prof),
+        cum AS (SELECT chr, i, sum(v) OVER (PARTITION BY chr ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ix UNION ALL SELECT DISTINCT chr, 0, 0::DOUBLE FROM ix),
+        dm AS (SELECT chr, median(d) AS m FROM ix GROUP BY 1),
+        pen AS (SELECT chr, count(*) AS n, 2 * pow(greatest(coalesce(1.4826::DOUBLE * median(abs(d - m)) / sqrt(2), 0), 1e-6), 2) * ln(greatest(count(*), 2)) AS p FROM ix JOIN dm USING (chr) GROUP BY 1),
+        parts(chr, lo, hi) AS ( SELECT chr, 0::BIGINT, n FROM pen WHERE n >= 3 UNION ALL
+          SELECT chr, CASE WHEN side = 0 THEN lo ELSE cut END, CASE WHEN side = 0 THEN cut ELSE hi END FROM (
+            SELECT q.chr, lo, hi, arg_max(c.i, pow(c.s - a.s, 2) / (c.i - lo) + pow(b.s - c.s, 2) / (hi - c.i)) AS cut FROM parts q JOIN pen USING (chr) JOIN cum a ON a.chr = q.chr AND a.i = lo JOIN cum b ON b.chr = q.chr AND b.i = hi
+            JOIN cum c ON c.chr = q.chr AND c.i BETWEEN lo + 3 AND hi - 3 GROUP BY q.chr, lo, hi, a.s, b.s, p HAVING max(pow(c.s - a.s, 2) / (c.i - lo) + pow(b.s - c.s, 2) / (hi - c.i)) - pow(b.s - a.s, 2) / (hi - lo) > p), (VALUES (0), (1)) AS t(side)),
+        leaf AS (SELECT chr, lo, min(hi) AS hi FROM parts GROUP BY ALL)
+        SELECT l.chr, f.bin_id AS first_bin, g.bin_id AS last_bin, x.start, y."end", (hi - lo)::INT AS n_bins, {_r('(b.s - a.s) / (hi - lo)', 'mean')}, (row_number() OVER (ORDER BY ord, lo) - 1)::INT AS segment
+        FROM leaf l JOIN ix f ON f.chr = l.chr AND f.i = lo + 1 JOIN ix g ON g.chr = l.chr AND g.i = hi JOIN bins x ON x.bin_id = f.bin_id JOIN bins y ON y.bin_id = g.bin_id JOIN cum a ON a.chr = l.chr AND a.i = lo JOIN cum b ON b.chr = l.chr AND b.i = hi JOIN chrom ON chrom.chr = l.chr""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "integer_cn_grid": _with(
         _BASE + _SEG + _INT,
         f"""SELECT {_r('CASE WHEN bool_or(ev) THEN round_even(max(p), 3) END', 'purity', 4)}, {_r('round_even(sum(n_bins * i) / sum(n_bins)::DOUBLE, 2)', 'ploidy', 4)},

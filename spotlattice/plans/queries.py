@@ -480,7 +480,7 @@ def permutation_null_mc(s: Surrogate) -> DataFrame:
 
 @query
 def morans_i_permutation_p(s: Surrogate) -> DataFrame:
-    return rigor.morans_i_permutation(s.spots, "total_frags").select("i", "p")
+    return rounded(rigor.morans_i_permutation(s.spots, "total_frags").select("i", "p"))
 
 
 @query

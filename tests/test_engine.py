@@ -317,6 +317,7 @@ def test_queries_search_as_widely_as_the_operators(spark, monkeypatch):
     monkeypatch.setattr(queries.clones, "choose_k", choose)
     monkeypatch.setattr(queries.rigor, "morans_i_permutation", moran)
     s = SimpleNamespace(log2="log2", spots="spots", smoothed=SimpleNamespace(smoothed="smoothed"))
+    monkeypatch.setattr(queries, "rounded", lambda df, *_: df)
     queries.pca_scores(s), queries.kmeans_clones(s), queries.morans_i_permutation_p(s)
     assert pca.call_args_list == [(("log2",),)] and choose.call_args_list == [(("smoothed",),)]
     assert moran.call_args_list == [(("spots", "total_frags"),)]
