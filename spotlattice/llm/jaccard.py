@@ -12,7 +12,8 @@ pivot, and all classes that have the same pivot form a cell. Linked classes alwa
 Frequent keys. A set with e empty parts shares K - d - e keys of parts that are not empty with every partner, at least. So
 it may give up the K - d - e - 1 of its keys that come last in an order that is the same for all sets: of the keys that two
 linked sets share, both keep the one that comes first. The order is by the number of classes, so that what goes are the
-keys of passages that very many texts share, and their cells with them.
+keys of passages that very many texts share, and their cells with them. And a set that shares fewer keys than K - d - e with
+all others together has no partner at all, and is in no cell.
 
 Search. A cell is cut into chunks of bounded size, each with the pivot. In a chunk an inverted index of its sets is
 searched for sets: the lists are divided by length, the short ones are heap-merged for the sets that occur T - L times at
@@ -307,12 +308,13 @@ def _least(keys: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _PACK = "bucket int, late int, low binary, cls binary, code binary, n binary"
-_SHARED = "pivot long, cls long, key long, n long, code int"
+_SHARED = "pivot long, cls long, code int, c long, key long, n long"
 
 
 def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, name: Callable[[np.ndarray], int], flush: int = 1 << 20) -> DataFrame:
-    """(id, text) -> for keys of several classes (pivot, cls) with the key's smallest class as pivot, and key 0; of keys
-    with FREQUENT entries or more, (key, n, cls, code) instead, with the number n of entries.
+    """(id, text) -> for keys of several classes (pivot, cls, code, c), pivots among them, with the key's smallest class as
+    pivot and the number c of such keys, at least; of keys with FREQUENT entries or more, (cls, code, 1, key, n) instead,
+    with the number n of entries.
 
     Keys are sorted and packed, some million at a time. Of each key a pack has its smallest class first and apart from
     the others, so that what must be held together of a key in its bucket is one class a pack; the others stream past.
@@ -357,17 +359,19 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
         at, early, known = None, [], None
 
         def entries(low: np.ndarray, cls: np.ndarray, code: np.ndarray, first: bool = False) -> pd.DataFrame:
-            """The rows of some entries; those that come first with their key are rows only if it is frequent."""
-            one, least, total = known
+            """The rows of some entries; those that come first with their key are rows by themselves only if it is frequent."""
+            one, least, total, own = known
             i = np.searchsorted(one, low)
             often = total[i] >= FREQUENT
             few = np.zeros(0, np.int64) if first else np.flatnonzero(~often & (least[i] != cls))
-            pairs = np.unique(np.stack([least[i][few], cls[few]], 1), axis=0)
+            pivot = least[i][few]
+            both = np.concatenate([np.stack([pivot, cls[few], code[few].astype(np.int64)], 1), np.stack([pivot, pivot, own[i][few].astype(np.int64)], 1)])
+            rows, c = np.unique(both, axis=0, return_counts=True)
             many = np.flatnonzero(often)
             key = (np.int64(at) << 32) | low[many].astype(np.int64)
-            zero, none = np.zeros(len(pairs), np.int64), np.zeros(len(many), np.int64)
-            halves = {"pivot": (pairs[:, 0], none), "cls": (pairs[:, 1], cls[many]), "key": (zero, key), "n": (zero, total[i][many]), "code": (zero, code[many].astype(np.int64))}
-            return pd.DataFrame({c: np.concatenate(h) for c, h in halves.items()})
+            zero, none = np.zeros(len(rows), np.int64), np.zeros(len(many), np.int64)
+            halves = {"pivot": (rows[:, 0], none), "cls": (rows[:, 1], cls[many]), "code": (rows[:, 2], code[many].astype(np.int64)), "c": (c, none + 1), "key": (zero, key), "n": (zero, total[i][many])}
+            return pd.DataFrame({name: np.concatenate(h) for name, h in halves.items()})
 
         def met() -> tuple[tuple, list[pd.DataFrame]]:
             nonlocal known
@@ -375,7 +379,7 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
             order = np.argsort(low, kind="stable")
             total = np.add.reduceat(n[order].astype(np.int64), _runs(low[order]))
             first, rest = _least(low, cls)
-            known = (low[first], cls[first], total)
+            known = (low[first], cls[first], total, code[first])
             return known, [entries(low[first], cls[first], code[first], True), entries(low[rest], cls[rest], code[rest])]
 
         for batch in batches:
@@ -400,25 +404,28 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
 
 
 def _members(shared: DataFrame, salt_each: int = 4096) -> DataFrame:
-    """The distinct (pivot, cls) of all cells, pivots among them, when every class has given up its most frequent keys."""
-    own = shared.where("n > 0").groupBy("cls", "code").agg(F.collect_set(F.struct("n", "key")).alias("ks"))  # as many as a text has parts
-    last = F.sort_array("ks", asc=False)
-    kept = own.withColumn("k", F.explode(F.slice(last, F.shiftright("code", 2) + 1, F.size("ks")))).select("cls", "k.n", "k.key")
-    kept = stored(kept, "frequent")
+    """The distinct (pivot, cls) of all cells of two classes at least, when classes without enough shared keys are left
+    out and every other class has given up its most frequent ones."""
+    spare, frequent = F.shiftright("code", 2), F.col("n") > 0
+    # A class has as many keys as its text has parts.
+    own = shared.groupBy("cls", "code").agg(F.sum("c").alias("c"), F.collect_set(F.when(~frequent, F.col("pivot"))).alias("ps"), F.collect_set(F.when(frequent, F.struct("n", "key"))).alias("ks"))
+    own = stored(own.where(F.col("c") > spare), "owned")
+    kept = own.withColumn("k", F.explode(F.slice(F.sort_array("ks", asc=False), spare + 1, F.greatest(F.size("ks"), F.lit(1))))).select("cls", "k.n", "k.key")
     # A key may have a large part of all classes: its rows meet their pivot in as many tasks as they need.
     salts = F.greatest(F.ceil(F.col("n") / F.lit(salt_each)), F.lit(1)).cast("int")
     pivots = kept.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("n").alias("n"), F.count("*").alias("c")).where("c > 1")
     pivots = pivots.select("key", "pivot", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     often = kept.withColumn("salt", F.pmod(F.xxhash64("cls"), salts).cast("int")).join(pivots, ["key", "salt"]).select("pivot", "cls")
-    pairs = shared.where("n = 0").select("pivot", "cls").unionByName(often.where("pivot <> cls"))
-    return pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("cls"))).distinct()
+    every = stored(own.select(F.explode("ps").alias("pivot"), "cls").unionByName(often).distinct(), "pairs")
+    alone = every.groupBy("pivot").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").select("pivot", "cls")
+    return every.join(alone, ["pivot", "cls"], "left_anti")  # by both, as a pivot may have very many
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, name: Callable[[np.ndarray], int], bits: int = 1 << 25) -> DataFrame:
-    """(cls, elements) of each wanted (id, cls), from its text; texts are not shuffled.
+    """(id, cls, elements) of the texts of at least each wanted (id, cls); texts are not shuffled.
 
-    A bitmap of the wanted ids, of a fixed size, goes to every task: where it is full it only prunes less. The join is by
-    id and class, so that a set with very many copies does not send them all to one task.
+    A bitmap of the wanted ids, of a fixed size, goes to every task: where it is full it only prunes less. What comes is to
+    be joined by id and class, so that a set with very many copies does not send them all to one task.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     maps = wanted.select((slot + 1).alias("b"))  # the bitmap functions count from 1
@@ -443,7 +450,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, name: Callable[[np.
                 yield pd.DataFrame(out, columns=["id", "cls", "elements"])
 
     made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, "id long, cls long, elements array<long>")
-    return made.join(wanted.select("id", "cls"), ["id", "cls"]).dropDuplicates(["id", "cls"]).select("cls", "elements")
+    return made.dropDuplicates(["id", "cls"])
 
 
 def _chunks(c: str, e: str) -> Column:
@@ -476,24 +483,22 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, num: int, den: in
     words = (signed.agg(F.sum("n")).first()[0] or 0) + 1
     n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 1e6)))
     members = _members(stored(_shared_keys(texts, width, num, den, n_buckets, name), "shared-keys"))
-    members = stored(members.join(classes.select("cls", "n"), "cls"), "members")
+    members = stored(members.join(classes, "cls"), "members")
     # Cells of several chunks are few, so their sizes travel to the members and not the members to the sizes.
     large = stored(members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e")).select("pivot", _chunks("c", "e").alias("m")).where("m > 1"), "large")
     n_large = large.count()
     cells = members.join(sized_broadcast(large, n_large), "pivot", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    wanted = members.select("cls").distinct().join(classes, "cls")
     own = F.pmod(F.xxhash64("pivot", "cls"), F.col("m")).cast("int")
     placed = cells.withColumn("chunk", F.explode(F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     placed = placed.withColumns({"block": F.lit(0), "asks": F.lit(False)})
-    edges = stored(_search(placed.join(_sets_of(texts, wanted, width, name), "cls"), num, den), "links")
+    edges = stored(_search(placed.join(_sets_of(texts, members, width, name), ["id", "cls"]), num, den), "links")
     if by_id:
         edges = edges.unionByName(_same_id(known))
     roots = components(edges)
     if n_large:
         blocks = stored(_unsettled(cells.where("m > 1"), placed, roots), "blocks")
         if not blocks.isEmpty():
-            again = _sets_of(texts, blocks.select("cls").distinct().join(classes, "cls"), width, name)
-            edges = edges.unionByName(stored(_search(blocks.join(again, "cls"), num, den), "links"))
+            edges = edges.unionByName(stored(_search(blocks.join(_sets_of(texts, blocks, width, name), ["id", "cls"]), num, den), "links"))
             roots = components(edges)
     # The smallest document id of each component, by way of the classes.
     rooted = classes.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -538,6 +543,6 @@ def _unsettled(cut: DataFrame, placed: DataFrame, roots: DataFrame) -> DataFrame
     most = now.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     outside = now.join(most, "pivot").where("root <> top.root")
     load = outside.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_SETS)), F.ceil(F.sum("n") / F.lit(CHUNK_ELEMENTS))).cast("int").alias("blocks"))
-    asking = outside.join(load, "pivot").select("pivot", "cls", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("chunk"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("asks"))
-    asked = placed.where("m > 1").join(load, "pivot").select("pivot", "cls", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
+    asking = outside.join(load, "pivot").select("pivot", "id", "cls", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("chunk"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("asks"))
+    asked = placed.where("m > 1").join(load, "pivot").select("pivot", "id", "cls", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
     return asking.unionByName(asked)
