@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_bins),
 ]
 
-#: The stages' models and searches are beyond SQL; tests/llm hold each against a brute-force version.
+#: The stages' models and searches are beyond SQL. tests/llm hold near duplicates and packing against brute force, surrogates
+#: against made-up texts, mixing against its SQL as a query, and the language stage against labels it has not seen.
 ORACLE_SQL = None
 
 
