@@ -50,11 +50,11 @@ from pyspark.sql import functions as F
 
 from spotlattice.llm.components import components
 from spotlattice.llm.shingles import mix, set_id, shingle_sets
-from spotlattice.llm.util import sized_broadcast, stored
+from spotlattice.llm.util import release_memory, sized_broadcast, stored
 
 _U = np.uint64
 #: Sets and elements in a chunk of a cell, at most (a single larger set is a chunk of its own).
-CHUNK_SETS, CHUNK_ELEMENTS = 512, 2_000_000
+CHUNK_SETS, CHUNK_ELEMENTS = 512, 500_000
 #: Keys of fewer entries are never given up; their cells are small.
 FREQUENT = 32
 _RATIO = 1.5
@@ -250,6 +250,7 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
                 yield batch()
         flush()
         yield batch()
+        release_memory()
 
     key = ["pivot", "chunk", "block"]
     dealt = rows.select(*key, "asks", "cls", "elements").repartition(*key).sortWithinPartitions(*key)
@@ -311,12 +312,12 @@ _PACK = "bucket int, late int, low binary, cls binary, code binary, n binary"
 _SHARED = "pivot long, cls long, code int, c long, key long, n long"
 
 
-def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, name: Callable[[np.ndarray], int], flush: int = 1 << 20) -> DataFrame:
+def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, name: Callable[[np.ndarray], int], flush: int = 1 << 18) -> DataFrame:
     """(id, text) -> for keys of several classes (pivot, cls, code, c), pivots among them, with the key's smallest class as
     pivot and the number c of such keys, at least; of keys with FREQUENT entries or more, (cls, code, 1, key, n) instead,
     with the number n of entries.
 
-    Keys are sorted and packed, some million at a time. Of each key a pack has its smallest class first and apart from
+    Keys are sorted and packed, some hundred thousand at a time. Of each key a pack has its smallest class first and apart from
     the others, so that what must be held together of a key in its bucket is one class a pack; the others stream past.
     A key of very many classes thus needs no memory for them.
     """
@@ -354,6 +355,8 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
                     size = 0
         if size:
             yield flushed()
+        held.clear()
+        release_memory()
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, early, known = None, [], None
@@ -397,6 +400,8 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
                     early.append((low, cls, code, n))
         if early and known is None:
             yield from met()[1]
+        early, known = [], None
+        release_memory()
 
     packed = docs.select("text").mapInPandas(pack, _PACK)
     parts = max(1, min(n_buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -448,6 +453,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, name: Callable[[np.
                         seen.add(row)
                         out.append((*row, s.view(np.int64)))
                 yield pd.DataFrame(out, columns=["id", "cls", "elements"])
+        release_memory()
 
     made = docs.select("id", slot.alias("slot"), "text").mapInPandas(run, "id long, cls long, elements array<long>")
     return made.dropDuplicates(["id", "cls"])
@@ -479,9 +485,9 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, num: int, den: in
     signed, classes, clashing = _classes(slim, width, bits)
     name = namer(clashing, bits)
     known = signed.where("cls is not null and id is not null")
-    # About a million keys a bucket: a word has 0.2 to 0.6 of them.
+    # Some hundred thousand keys a bucket: a word has 0.2 to 0.6 of them.
     words = (signed.agg(F.sum("n")).first()[0] or 0) + 1
-    n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 1e6)))
+    n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 2.5e5)))
     members = _members(stored(_shared_keys(texts, width, num, den, n_buckets, name), "shared-keys"))
     members = stored(members.join(classes, "cls"), "members")
     # Cells of several chunks are few, so their sizes travel to the members and not the members to the sizes.

@@ -8,7 +8,7 @@ import numpy as np
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLAB = 1 << 21
+_SLAB = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
