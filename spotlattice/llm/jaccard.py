@@ -16,8 +16,9 @@ keys of passages that very many texts share, and their cells with them. And a se
 all others together has no partner at all, and is in no cell.
 
 Search. A cell is cut into chunks of bounded size, each with the pivot. In a chunk an inverted index of its sets is
-searched for sets: the lists are divided by length, the short ones are heap-merged for the sets that occur T - L times at
-least, these are looked up in the L long lists by binary search, and those that reach T are linked. The pivot is searched
+searched for sets: the lists are divided by length, the short ones are merged for the sets that occur T - L times at
+least, these are looked up in the L long lists by binary search (if they are many, the long lists are merged as well), and
+those that reach T are linked. The pivot is searched
 first, then every set outside the largest component so far, which is enough to find all components. A chunk returns its
 components, not its pairs. Cells of several chunks whose members are still in several components get a second search, of
 all members outside the cell's largest component against every chunk, in blocks. So a group of near copies costs its
@@ -35,11 +36,9 @@ hashes of 64 bits: two that coincide by chance count as one.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -136,21 +135,28 @@ class Index:
         n_long = min(least - 1, len(lists), int(least / (0.01 * math.log2(longest + 1) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         probe = np.sort(long) * self.n
-        runs = [self.owner[self.first[x] : self.first[x + 1]].tolist() for x in short]
-        for c, same in groupby(heapq.merge(*runs)):
-            seen = sum(1 for _ in same)
-            if seen < least - n_long or skip(c):
-                continue
-            b = int(self.sizes[c])
-            if b * den < a * num or a * den < b * num:
+        occurs = self._occurs(short)
+        found = np.flatnonzero((occurs >= least - n_long) & (self.sizes * den >= a * num) & (self.sizes * num <= a * den))
+        found = [c for c in found.tolist() if not skip(c)]
+        if len(found) * len(long) * 4 > self.length[long].sum():  # many to look up: the long lists are merged, too
+            occurs, probe = occurs + self._occurs(long), probe[:0]
+        for c in found:
+            if skip(c):
                 continue
+            seen = int(occurs[c])
             if len(probe):
                 key = probe + c
-                found = np.searchsorted(self.flat, key)
-                seen += int((self.flat[np.minimum(found, len(self.flat) - 1)] == key).sum())
-            if seen * (num + den) >= num * (a + b):
+                to = np.searchsorted(self.flat, key)
+                seen += int((self.flat[np.minimum(to, len(self.flat) - 1)] == key).sum())
+            if seen * (num + den) >= num * (a + int(self.sizes[c])):
                 yield c
 
+    def _occurs(self, lists: np.ndarray) -> np.ndarray:
+        """How many of some lists each set is in."""
+        many = self.length[lists]
+        at = np.arange(int(many.sum())) + np.repeat(self.first[lists] - np.cumsum(many) + many, many)
+        return np.bincount(self.owner[at], minlength=self.n)
+
     def _lists(self, s: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.elements, s), len(self.elements) - 1)
         return at[self.elements[at] == s]

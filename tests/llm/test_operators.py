@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,6 +137,17 @@ def test_linked_sets_share_a_key_that_neither_gives_up(num, den):
             assert len(np.intersect1d(left(a), left(b)))  # also after each has given up all that it may
 
 
+def test_a_full_chunk_is_searched_in_seconds():
+    """A chunk whose sets are alike in three quarters of their elements and do not link, but for one pair."""
+    rng = np.random.default_rng(8)
+    both = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(both)[:370], rng.integers(0, 1 << 62, 30).astype(np.uint64)])) for _ in range(jaccard.CHUNK_SETS)]
+    sets[-1] = np.unique(np.concatenate([sets[3][5:], both[:1]]))
+    began = time.process_time()
+    assert jaccard.chunk_edges(list(range(len(sets))), sets, [False] * len(sets), 9, 10, 0) == [(len(sets) - 1, 3)]
+    assert time.process_time() - began < 6
+
+
 def test_groups_of_awkward_rows(spark):
     got = defaultdict(set)
     for r in jaccard.link_groups(awkward(spark), width=3, num=9, den=10).collect():
