@@ -3,17 +3,27 @@
 Texts become sets of hashed word shingles; equal sets are one class, and classes are what is joined. Two sets link when
 ``den * |A & B| >= num * |A | B|``, which is an overlap of T = ceil(num * (|A| + |B|) / (num + den)) at least.
 
-Dealing out. The sizes fall into bands. Linked sets of a band differ in at most d elements, so if elements are dealt
-into K = d + 1 + E parts by a hash, at least E + 1 parts hold the same elements in both, and with few empty parts one of
-these is not empty: a key of (band, part, its elements) that both sets have. Sets with more than E empty parts have keys
-for empty parts too, so no link is lost. Keys of only one class lead nowhere; the others have their smallest class as
-pivot, and all classes that have the same pivot form a cell. Linked classes always meet in a cell.
-
-Frequent keys. A set with e empty parts shares K - d - e keys of parts that are not empty with every partner, at least. So
-it may give up the K - d - e - 1 of its keys that come last in an order that is the same for all sets: of the keys that two
-linked sets share, both keep the one that comes first. The order is by the number of classes, so that what goes are the
-keys of passages that very many texts share, and their cells with them. And a set that shares fewer keys than K - d - e with
-all others together has no partner at all, and is in no cell.
+Dealing out, for links of sets that differ little. The sizes fall into bands. Linked sets of a band differ in at most d
+elements, so if elements are dealt into K = d + 1 + E parts by a hash, at least E + 1 parts hold the same elements in both,
+and with few empty parts one of these is not empty: a key of (band, part, its elements) that both sets have. Sets with more
+than E empty parts have keys for empty parts too, so no link is lost. A set with e empty parts shares more than s = K - d -
+e - 1 of its other keys with every partner.
+
+Dealing out, for other links, where parts would be of few elements and shared by chance. All elements have one order, the
+rare ones first. A set of n elements shares m = ceil(num * n / den) at least with each partner, and its first n - m + 1 + s
+elements are its keys, with a reserve s that depends on m only and grows no faster than m. Of the elements that two linked
+sets share, the first 1 + s are keys of both, for the larger s of the two. Passages that very many texts share come last in
+the order, so their elements are keys only of texts that consist of little else. How often elements occur is counted while
+the texts are signed, and only for the order: where rare ones are not told apart nothing is lost, as any order gives the
+same links.
+
+Cells. Keys of only one class lead nowhere; the others have their smallest class as pivot, and all classes that have the
+same pivot form a cell. Linked classes always meet in a cell.
+
+Frequent keys. A set shares more than s of its keys with every partner. So it may give up the s of its keys that come last in
+an order that is the same for all sets: of the keys that two linked sets share, both keep the one that comes first. This
+order is by the number of classes, so that what goes are the keys of passages that very many texts share, and their cells
+with them. And a set that shares no more than s keys with all others together has no partner at all, and is in no cell.
 
 Search. A cell is cut into chunks of bounded size, each with the pivot. In a chunk an inverted index of its sets is
 searched for sets: the lists are divided by length, the short ones are merged for the sets that occur T - L times at
@@ -56,6 +66,11 @@ _U = np.uint64
 CHUNK_SETS, CHUNK_ELEMENTS = 512, 500_000
 #: Keys of fewer entries are never given up; their cells are small.
 FREQUENT = 32
+#: Parts of so many elements are seldom shared by chance; where they would have fewer, keys are single elements.
+LARGE_PARTS = 6
+#: Slots of the table of frequent elements, and how many of them are looked for: in all, in a task, and in each piece of so
+#: many elements of a task.
+SLOTS, OFTEN, OFTEN_IN_TASK, PIECE = 1 << 22, 1 << 17, 1 << 14, 1 << 20
 _RATIO = 1.5
 
 
@@ -77,7 +92,8 @@ def bands(num: int, den: int) -> list[tuple[int, int, int, int]]:
 
 
 def keys_of(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of one set, and for each a code: how many keys of its band may be given up, times 4, plus the band modulo 4.
+    """The keys of one set by parts, and for each a code: how many keys of its band may be given up, times 4, plus the band
+    modulo 4.
 
     Two linked sets of different elements share a key, also after each has given up its last ones.
     """
@@ -105,6 +121,23 @@ def keys_of(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).view(np.int64), np.concatenate(codes)
 
 
+def first_keys(s: np.ndarray, num: int, den: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set by the order of elements, and codes, as ``keys_of`` has them but without bands.
+
+    ``rank`` has a number from 0 to 255 for each slot of the elements' hashes: keys are elements of low ranks.
+    """
+    n = len(s)
+    if n * den // num == n:  # the set links only with its equals
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    m = -(-num * n // den)
+    spare = max(0, min(m - 1, 1 + m // 6, 16383))
+    keep = n - m + 1 + spare
+    with np.errstate(over="ignore"):
+        order = mix(s + _U(0xC2B2AE3D27D4EB4F)) >> _U(8) | rank[s & _U(len(rank) - 1)].astype(_U) << _U(56)
+        found = mix(s[np.argpartition(order, keep - 1)[:keep]] if keep < n else s)
+    return found.view(np.int64), np.full(len(found), spare * 4, np.uint16)
+
+
 class Index:
     """An inverted index of sets, for T-occurrence search."""
 
@@ -282,9 +315,67 @@ def _signed(text: str, width: int, bits: int = 64) -> Column:
     return sign(text)
 
 
-def _classes(docs: DataFrame, width: int, bits: int, most: int = 100_000) -> tuple[DataFrame, DataFrame, frozenset[int]]:
-    """(id, text) -> signatures (id, n, cls), classes (cls, id, n) of rows with an id, and the names that clashed."""
-    raw = stored(docs.withColumn("s", _signed("text", width, bits)).select("id", "s.n", "s.cls", "s.chk"), "signatures")
+def _counted(docs: DataFrame, width: int, bits: int, often: bool) -> DataFrame:
+    """(id, text) -> (id, n, cls, chk) of every row, with often false, and (null, count, element, null), with often true,
+    for the most frequent elements of each task if they are asked for: at least so many rows of it have them."""
+    name = namer(bits=bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        elements, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+
+        def count() -> None:
+            nonlocal elements, counts
+            piece, c = np.unique(np.concatenate(held), return_counts=True)
+            piece, c = np.concatenate([elements, piece[c > 1]]), np.concatenate([counts, c[c > 1]])
+            elements, at = np.unique(piece, return_inverse=True)
+            counts = np.bincount(at, c, len(elements)).astype(np.int64)
+            if len(elements) > 8 * OFTEN_IN_TASK:
+                top = np.argsort(-counts, kind="stable")[: 4 * OFTEN_IN_TASK]
+                elements, counts = elements[top], counts[top]
+            held.clear()
+
+        for b in batches:
+            rows = []
+            for s in shingle_sets(b["text"], width):
+                rows.append((len(s), name(s), set_id(s, second=True)) if len(s) else (0, None, None))
+                if often:
+                    held.append(s)
+                    size += len(s)
+                if size >= PIECE:
+                    count()
+                    size = 0
+            # Not by way of a float column, which would round the classes of a batch with an empty text.
+            whole = lambda i, rows=rows: pd.array([r[i] for r in rows], dtype="Int64")
+            yield pd.DataFrame({"id": b["id"].array, "n": whole(0), "cls": whole(1), "chk": whole(2), "often": False})
+        if held:
+            count()
+        top = np.argsort(-counts, kind="stable")[:OFTEN_IN_TASK]
+        top = top[counts[top] > 2]
+        none = pd.array([None] * len(top), dtype="Int64")
+        yield pd.DataFrame({"id": pd.array([None] * len(top), dtype=object), "n": counts[top], "cls": elements[top].view(np.int64), "chk": none, "often": True})
+        release_memory()
+
+    # Ids by way of text: a column of whole numbers with nulls would come as floats.
+    slim = docs.select(F.col("id").cast("string").alias("id"), "text")
+    made = slim.mapInPandas(run, "id string, n long, cls long, chk long, often boolean")
+    return made.withColumn("id", F.col("id").cast("long"))
+
+
+def _ranks(often: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """For each slot of the hashes a number that grows with the count of its most frequent element; 0 for all others."""
+    rank = np.zeros(slots, np.uint8)
+    top = often.groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(OFTEN).collect()
+    at = np.array([r["cls"] for r in top], np.int64).view(_U) & _U(slots - 1)
+    np.maximum.at(rank, at.astype(np.int64), np.array([min(255, int(8 * math.log2(r["n"]))) for r in top], np.uint8))
+    return rank
+
+
+def _classes(docs: DataFrame, width: int, bits: int, most: int = 100_000, ranked: bool = False) -> tuple[DataFrame, DataFrame, frozenset[int], np.ndarray | None]:
+    """(id, text) -> signatures (id, n, cls), classes (cls, id, n) of rows with an id, the names that clashed, and the ranks
+    of elements if they are asked for."""
+    both = stored(_counted(docs, width, bits, ranked), "signatures")
+    raw = both.where("not often").select("id", "n", "cls", "chk")
     by = raw.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
     by = stored(by, "classes")
     # Of 10**10 classes about three pairs share 64 bits.
@@ -294,7 +385,7 @@ def _classes(docs: DataFrame, width: int, bits: int, most: int = 100_000) -> tup
     if clashing:
         raw = raw.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("chk")).otherwise(F.col("cls")))
         by = stored(raw.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
-    return raw.select("id", "n", "cls"), by.where("id is not null").select("cls", "id", "n"), clashing
+    return raw.select("id", "n", "cls"), by.where("id is not null").select("cls", "id", "n"), clashing, _ranks(both.where("often")) if ranked else None
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -318,7 +409,7 @@ _PACK = "bucket int, late int, low binary, cls binary, code binary, n binary"
 _SHARED = "pivot long, cls long, code int, c long, key long, n long"
 
 
-def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, name: Callable[[np.ndarray], int], flush: int = 1 << 18) -> DataFrame:
+def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, name: Callable[[np.ndarray], int], rank: np.ndarray | None = None, flush: int = 1 << 18) -> DataFrame:
     """(id, text) -> for keys of several classes (pivot, cls, code, c), pivots among them, with the key's smallest class as
     pivot and the number c of such keys, at least; of keys with FREQUENT entries or more, (cls, code, 1, key, n) instead,
     with the number n of entries.
@@ -328,7 +419,10 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
     A key of very many classes thus needs no memory for them.
     """
 
+    ranks = docs.sparkSession.sparkContext.broadcast(None if rank is None else rank.tobytes())
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = None if ranks.value is None else np.frombuffer(ranks.value, np.uint8)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -351,7 +445,7 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, n_buckets: int
 
         for batch in batches:
             for s in shingle_sets(batch["text"], width):
-                keys, code = keys_of(s, num, den) if len(s) else ((), ())
+                keys, code = (keys_of(s, num, den) if rank is None else first_keys(s, num, den, rank)) if len(s) else ((), ())
                 if len(keys):
                     held.append((keys, np.full(len(keys), name(s), np.int64), code))
                     size += len(keys)
@@ -418,7 +512,6 @@ def _members(shared: DataFrame, salt_each: int = 4096) -> DataFrame:
     """The distinct (pivot, cls) of all cells of two classes at least, when classes without enough shared keys are left
     out and every other class has given up its most frequent ones."""
     spare, frequent = F.shiftright("code", 2), F.col("n") > 0
-    # A class has as many keys as its text has parts.
     own = shared.groupBy("cls", "code").agg(F.sum("c").alias("c"), F.collect_set(F.when(~frequent, F.col("pivot"))).alias("ps"), F.collect_set(F.when(frequent, F.struct("n", "key"))).alias("ks"))
     own = stored(own.where(F.col("c") > spare), "owned")
     kept = own.withColumn("k", F.explode(F.slice(F.sort_array("ks", asc=False), spare + 1, F.greatest(F.size("ks"), F.lit(1))))).select("cls", "k.n", "k.key")
@@ -488,13 +581,14 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, num: int, den: in
     """id, n, cls, root (the component's own name) and component_id of every row; ids join classes only with ``by_id``."""
     slim = docs.select(F.expr(f"try_cast(`{key}` as long)").alias("id"), F.col(text).alias("text"))
     texts = slim.where("id is not null")
-    signed, classes, clashing = _classes(slim, width, bits)
+    # Parts of linked sets have (num + den) / 2 / (den - num) elements or so.
+    signed, classes, clashing, rank = _classes(slim, width, bits, ranked=num + den < LARGE_PARTS * 2 * (den - num))
     name = namer(clashing, bits)
     known = signed.where("cls is not null and id is not null")
     # Some hundred thousand keys a bucket: a word has 0.2 to 0.6 of them.
     words = (signed.agg(F.sum("n")).first()[0] or 0) + 1
-    n_buckets = int(min(1 << 24, max(16, words * 3 * (den - num) / den / 2.5e5)))
-    members = _members(stored(_shared_keys(texts, width, num, den, n_buckets, name), "shared-keys"))
+    n_buckets = int(min(1 << 24, max(16, words * (3 if rank is None else 2) * (den - num) / den / 2.5e5)))
+    members = _members(stored(_shared_keys(texts, width, num, den, n_buckets, name, rank), "shared-keys"))
     members = stored(members.join(classes, "cls"), "members")
     # Cells of several chunks are few, so their sizes travel to the members and not the members to the sizes.
     large = stored(members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("e")).select("pivot", _chunks("c", "e").alias("m")).where("m > 1"), "large")

@@ -137,6 +137,39 @@ def test_linked_sets_share_a_key_that_neither_gives_up(num, den):
             assert len(np.intersect1d(left(a), left(b)))  # also after each has given up all that it may
 
 
+@pytest.mark.parametrize("num, den", [(9, 10), (4, 5), (1, 2)])
+def test_linked_sets_share_a_key_in_any_order(num, den):
+    """The ranks of elements decide what is a key, not whether linked sets share one, also when both give up their last ones."""
+    rng = np.random.default_rng(den)
+    for n in [2, 3, 9, 10, 11, 13, 40, 61, 200, 480]:
+        for trial in range(30):
+            rank = rng.integers(0, 3 if trial % 2 else 256, 64).astype(np.uint8)
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, n // 5 + 1)) :], rng.integers(0, 1 << 62, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(a) == both == len(b) or den * both < num * (len(a) + len(b) - both):
+                continue
+            (ka, ca), (kb, cb) = jaccard.first_keys(a, num, den, rank), jaccard.first_keys(b, num, den, rank)
+            spare = max(int(ca[0]) >> 2, int(cb[0]) >> 2)
+            assert len(np.intersect1d(ka, kb)) > spare
+            assert len(np.intersect1d(np.sort(ka)[: len(ka) - (int(ca[0]) >> 2)], np.sort(kb)[: len(kb) - (int(cb[0]) >> 2)]))
+
+
+def test_common_passages_make_no_cells(spark, monkeypatch):
+    """Texts that share passages with hundreds of others, but are not alike, are not searched; the near copies among them are."""
+    rng = random.Random(5)
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(5)]
+    own = [" ".join(f"d{d}w{i}" for i in range(30)) for d in range(600)]
+    rows = [(d, " ".join([*(three := rng.sample(lines, 3))[:2], own[d], three[2]])) for d in range(600)]
+    rows += [(1000 + d, rows[d][1].rsplit(" ", 1)[0]) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    searched, search = [], jaccard._search
+    monkeypatch.setattr(jaccard, "_search", lambda r, *a: (searched.append(r.count()), search(r, *a))[1])
+    got = {r[0]: r[2] for r in jaccard.link_groups(docs, width=5, num=4, den=5).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert searched == [40]
+
+
 def test_a_full_chunk_is_searched_in_seconds():
     """A chunk whose sets are alike in three quarters of their elements and do not link, but for one pair."""
     rng = np.random.default_rng(8)
