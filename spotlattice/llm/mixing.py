@@ -86,11 +86,13 @@ def mix(docs: DataFrame, *, source: str = "source", key: str = "doc_id", text: s
     Added: mix_source, mix_size, mix_source_size, mix_target, mix_rank (unique within a source), mix_words (of this
     taking), mix_block, mix_shard (null if not taken) and mix_slot, a hash that orders the rows of a shard. With
     ``whole`` the last document of a source is taken whole or not at all, whichever is nearer to the target; otherwise
-    only its first mix_words words belong to the mix. ``size`` names a column with the number of words, if there is one.
+    only its first mix_words words belong to the mix. ``size`` names a column with the number of words, if there is one;
+    docs is then read several times and should be a stored table.
     """
     md = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     df = docs.withColumns({"mix_source": group_key(F.col(source)), "mix_size": F.col(size).cast("long") if size else n_words(F.col(text)), "__h": md, "__x": F.xxhash64(F.col(text))})
-    slim = stored(df.select("mix_source", "mix_size", "__h"), "sizes")  # so that words are counted once for all totals
+    slim = df.select("mix_source", "mix_size", "__h")
+    slim = slim if size else stored(slim, "sizes")  # so that words are counted once for all totals
     rows = slim.count()
     sizes = slim.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
     plan = stored(targets(sizes, weights=weights, repeats=repeats).withColumn("__goal", F.floor(F.col("mix_target") + F.lit(0.5)).cast("long")), "targets")

@@ -123,6 +123,24 @@ def test_mixing_query_is_what_the_tree_dealt(spark, folder, rows):
     assert again == sorted(map(tuple, got))
 
 
+def test_mixing_query_stores_its_words_once(spark, folder):
+    before = len(util._WRITTEN)
+    queries.op7_mixing(spark, folder)
+    assert [path.rpartition("/")[2].partition("-")[0] for path in util._WRITTEN[before:]] == ["words", "targets"]
+
+
+def test_words_are_counted_without_an_object_for_each(spark):
+    rng = random.Random(4)
+    texts = [None, "", " ", "a", "\n\ta\n\t", "a\n\tb", " " * 3000, "a " * 3000, "\r\n" * 9 + "w" * 9 + "\t" * 3000]
+    texts += ["".join(rng.choices(" \t\n\x0b\x0c\rab\x00\x1c\x1f\x85\xa0\u2003é漢😀", k=rng.randrange(1, 14))) for _ in range(2000)]
+    counted = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", util.n_words(F.col("t")).alias("n"))
+    assert {r["i"]: r["n"] for r in counted.collect()} == {i: len(re.findall(util.WORD, t or "")) for i, t in enumerate(texts)}
+    assert "regexp" not in counted._jdf.queryExecution().optimizedPlan().toString().lower()
+    cut = [b"\xe2 a", b"a\xff b\xc3", b"\xf0\x9f a b", b" \x80\t\xe2\n", b" \n"]
+    got = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(cut)], "i long, b binary").select("i", util.n_words(F.col("b").cast("string")))
+    assert sorted(map(tuple, got.collect())) == [(0, 2), (1, 2), (2, 3), (3, 2), (4, 0)]
+
+
 def test_warc_query(spark, folder):
     got = {r["page_id"]: tuple(r)[1:] for r in queries.op4_warc(spark, folder).collect()}
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
